@@ -126,9 +126,9 @@ def grouped_manifest(manifest: DataFrame, seed: str = "42", radius: int = 6) ->
     near = values.join(first, "h").join(first.select(F.col("h").alias("g"), F.col("i").alias("j")), "g").select(F.col("i").alias("a"), F.col("j").alias("b"))
     edges = star_edges(manifest, "doc_id", ["sha256", "subject_id", "phash"]).unionByName(near)
     roots = connected(manifest.select(F.col("doc_id").alias("id")), edges)
-    rows = manifest.join(roots, manifest["doc_id"] == roots["id"]).drop("id").withColumnRenamed("root", "group_root")
-    rows = rows.join(group_identity(rows, "group_root", "image_path", "image_path"), "group_root")
-    rows = rows.join(split_groups(rows, "group_id", seed), "group_id")
+    rows = written(manifest.join(roots, manifest["doc_id"] == roots["id"]).drop("id").withColumnRenamed("root", "group_root"), "grouped")
+    groups = written(group_identity(rows, "group_root", "image_path", "image_path"), "groups")
+    rows = rows.join(groups.join(split_groups(groups, "group_id", seed), "group_id"), "group_root")
     return rows.withColumn("split_basis", F.when(F.col("subject_id").isNotNull(), "subject+perceptual").otherwise("perceptual; not subject-independent"))
 
 

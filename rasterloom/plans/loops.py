@@ -12,6 +12,7 @@ from ..operators import classifier as L
 from ..operators import graph as G
 from ..operators import manifests as M
 from ..operators import pixels as X
+from ..operators import windows as W
 
 
 def review_queue(manifest: DataFrame, seed: str, wanted: int) -> DataFrame:
@@ -61,3 +62,35 @@ def evaluation(pixels: DataFrame, tags: dict[str, Column], classes: int = 7) ->
     """Per-class metrics of aligned masks, with tags that say where they come from."""
     out = X.class_metrics(X.confusion(pixels, classes))
     return out.select(*[c.alias(k) for k, c in tags.items()], "*")
+
+
+LINE_CLASSES = {"life": 2, "head": 3, "heart": 4}
+
+
+def pseudo_masks(pixels: DataFrame, width: int, height: int, thumb: Column, quantile: float = 0.88, least_area: int = 3, least_score: float = 0.35) -> tuple[DataFrame, DataFrame]:
+    """Pseudo-masks from dark thin structures: (pixels with `mask`, a report an image).
+
+    The response is thresholded at an image's quantile; components that are large enough
+    are scored as each line; lines take their best component in turn, plausible rest is
+    minor; line pixels are then dilated by one pixel, higher classes last.
+    """
+    response = X.features(pixels)
+    cut = response.groupBy("image_id").agg(F.percentile("blackhat", F.lit(quantile)).alias("cut"))
+    dark = response.join(cut, "image_id").where("blackhat > cut AND blackhat > 0").select("image_id", "y", "x")
+    parts = G.written(X.components(dark, F.lit(True)), "components")
+    feats = X.component_features(parts, width, height).where(F.col("length_px") >= least_area)
+    scores = C.line_scores(thumb)
+    scored = G.written(feats.select("image_id", "label", *[s.alias(k) for k, s in scores.items()]), "component-scores")
+    taken = W.assign_exclusively(scored, "image_id", "label", list(LINE_CLASSES), least_score)
+    ids = F.create_map(*[F.lit(x) for pair in LINE_CLASSES.items() for x in pair])
+    taken = G.written(taken.join(scored.unpivot(["image_id", "label"], list(LINE_CLASSES), "line", "score"), ["image_id", "label", "line"]).withColumn("mask", ids[F.col("line")]), "lines")
+    rest = scored.join(taken, ["image_id", "label"], "left_anti").where("minor >= 0.25").select("image_id", "label", F.lit(5).alias("mask"))
+    drawn = parts.join(taken.select("image_id", "label", "mask").unionByName(rest), ["image_id", "label"])
+    near = F.sequence(F.lit(-1), F.lit(1))
+    wide = drawn.select("image_id", "y", "x", "mask", F.explode(near).alias("dy")).withColumn("dx", F.explode(near)).where("abs(dy) + abs(dx) < 2")
+    wide = wide.groupBy("image_id", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x")).agg(F.max("mask").alias("mask"))
+    masks = pixels.select("image_id", "y", "x").join(wide, ["image_id", "y", "x"], "left").withColumn("mask", F.coalesce("mask", F.lit(1)))
+    main = taken.groupBy("image_id").agg(F.count(F.lit(1)).alias("main_lines"), (F.sum("score") / len(LINE_CLASSES)).alias("mean_score"))
+    ratio = masks.groupBy("image_id").agg(F.avg(F.col("mask").between(2, 5).cast("double")).alias("line_ratio"), F.sum((F.col("mask") == 5).cast("long")).alias("minor_pixels"))
+    report = ratio.join(main, "image_id", "left").na.fill({"main_lines": 0, "mean_score": 0.0})
+    return masks, report.withColumn("mask_quality", C.mask_quality(F.col("line_ratio"), F.col("main_lines"), F.col("mean_score"), F.lit(0.35)))

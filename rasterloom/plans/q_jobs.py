@@ -73,3 +73,9 @@ def x7_label_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def x8_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = loops.evaluation(views.pixels(spark, sf_dir), {"dataset": F.lit("bridge"), "split": F.lit("all")})
     return out.select("dataset", "split", "class_id", "support", F.round("iou", 6).alias("iou"), F.round("dice", 6).alias("dice"))
+
+
+@query()
+def k5_pseudo_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, report = loops.pseudo_masks(views.pixels(spark, sf_dir), 8, 8, F.lit("left"), quantile=0.75, least_score=0.2)
+    return report.select("image_id", F.round("line_ratio", 6).alias("line_ratio"), "minor_pixels", "main_lines", F.round("mask_quality", 6).alias("mask_quality"))
