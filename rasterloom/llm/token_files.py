@@ -36,8 +36,8 @@ from .common import shared_dir, written
 SCALE_BITS = 20
 LOW = np.uint64(1 << 31)
 MAGIC = b"RNS1"
-BLOCK_TOKENS = 1 << 18
-MAX_LANES = 1024
+BLOCK_TOKENS = 1 << 20
+MAX_LANES = 4096
 CHECKPOINT_STEPS = 128
 
 
@@ -161,7 +161,7 @@ class PieceEncoder:
     in which a space touches other white space on both sides go to the library whole.
     """
 
-    LIMIT = 800_000
+    LIMIT = 1_800_000  # of about 170 bytes each
 
     def __init__(self, path: str) -> None:
         import os
@@ -178,7 +178,8 @@ class PieceEncoder:
         self.starts = np.zeros(max(vocab.values()) + 1, bool)
         self.starts[[i for s, i in vocab.items() if s.startswith("Ġ")]] = True
         self.unsafe = re.compile(r"\s (?!\S)")
-        self.edge = re.compile(r"^\s|\s$")
+        # a space after white space: only texts that have one can be unsafe
+        self.gaps = [c + " " for c in map(chr, range(0x3001)) if c.isspace()]
         self.memo: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -186,33 +187,34 @@ class PieceEncoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Encodes pieces, each with the space before it."""
-        plain = [p for p in pieces if p and not self.edge.search(p)]
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
+        plain = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace()]
+        for at in range(0, len(plain), 256):
+            part = plain[at : at + 256]
             ids = np.array(self.tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.starts[ids])
             if len(cuts) == len(part):
                 raw, cuts = ids.tobytes(), [*(cuts * 4).tolist(), 4 * len(ids)]
-                self.memo.update((p, raw[a:b]) for p, a, b in zip(part, cuts, cuts[1:]))
+                self.memo.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
             else:
                 self.memo.update(zip(part, self._ids([" " + p for p in part])))
-        odd = [p for p in pieces if p not in self.memo]
+        odd = [p for p in pieces if p not in self.memo] if len(plain) < len(pieces) else []
         if odd:
             self.memo.update(zip(odd, self._ids([" " + p for p in odd])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if self.unsafe.search(t)]
+        whole = [i for i, t in enumerate(texts) if any(g in t for g in self.gaps) and self.unsafe.search(t)]
         for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
             out[i] = ids
         pieces = {i: texts[i].split(" ") for i, ids in enumerate(out) if ids is None}
         firsts = dict(zip(pieces, self._ids([p[0] for p in pieces.values()])))
         if len(self.memo) > self.LIMIT:
             self.memo.clear()
-        missing = {p for ps in pieces.values() for p in ps[1:]} - self.memo.keys()
+        memo = self.memo
+        missing = [p for p in set().union(*pieces.values()) if p not in memo]
         if missing:
-            self._learn(sorted(missing))
-        get = self.memo.__getitem__
+            self._learn(missing)
+        get = memo.__getitem__
         for i, ps in pieces.items():
             out[i] = firsts[i] + b"".join(map(get, ps[1:]))
         return out
@@ -257,16 +259,20 @@ def write_tokens(
     width = "<u2" if vocab_size <= 1 << 16 else "<u4"
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Packed ids of documents, and one last row (n = -1) with the task's counts."""
         encode, pack = make_encoder(), zstandard.ZstdCompressor(level=1)
+        total = np.zeros(vocab_size, "i8")
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 one = batch.slice(at, 512)
                 texts = ["" if t is None else t for t in one.column(1).to_pylist()]
                 coded = [np.frombuffer(b + end, "<u4") for b in encode(texts)]
+                total += np.bincount(np.concatenate(coded), minlength=vocab_size)
                 planes = [pack.compress(t.astype(width).tobytes()) for t in coded]
                 yield pa.RecordBatch.from_arrays(
                     [one.column(0), pa.array([len(t) for t in coded], pa.int64()), pa.array(planes, pa.binary())], ["id", "n", "ids"]
                 )
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([pack.compress(total.tobytes())], pa.binary())], ["id", "n", "ids"])
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     part = F.expr(f"aggregate(array({', '.join(f'{x}L' for x in ends)}), 0, (a, x) -> a + int(id > x))") if ends else F.lit(0)
@@ -276,14 +282,14 @@ def write_tokens(
         return np.frombuffer(pack.decompress(data, max_output_size=4 * n), width).astype("u4")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, total = zstandard.ZstdDecompressor(), np.zeros(vocab_size, "i8")
+        pack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for n, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                total += np.bincount(unpacked(pack, n, data.as_py()), minlength=vocab_size)
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found.astype("i4")), pa.array(total[found])], ["symbol", "n"])
+            for data in batch.column(0):
+                total = np.frombuffer(pack.decompress(data.as_py(), max_output_size=8 * vocab_size), "i8")
+                found = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(found.astype("i4")), pa.array(total[found])], ["symbol", "n"])
 
-    sums = stored.select("n", "ids").mapInArrow(counted, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
+    sums = stored.where("n < 0").select("ids").mapInArrow(counted, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
     counts = np.zeros(vocab_size, "i8")
     for row in sums.collect():  # at most one row for each id of the vocabulary
         counts[row.symbol] = row.n
@@ -293,6 +299,7 @@ def write_tokens(
     shared = spark.sparkContext.broadcast(freqs.astype("u4"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _encoders.clear()  # workers are reused: texts are encoded by now
         pack, table = zstandard.ZstdDecompressor(), Table(shared.value)
         held: list[tuple[int, np.ndarray]] = []
         size, now, number = 0, None, 0
@@ -314,7 +321,7 @@ def write_tokens(
         if held:
             yield out()
 
-    dealt = stored.withColumn("part", part.cast("int")).repartition(max(1, len(ends) + 1), "part").sortWithinPartitions("part", "id", "ids")
+    dealt = stored.where("n > 0").withColumn("part", part.cast("int")).repartition(max(1, len(ends) + 1), "part").sortWithinPartitions("part", "id", "ids")
     dealt.mapInArrow(blocks, "part int, block long, n_tokens long, first_id long, last_id long, payload binary").write.parquet(f"{path}/blocks")
 
 
