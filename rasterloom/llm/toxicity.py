@@ -4,17 +4,17 @@ Two zstandard dictionaries are trained: one on ordinary text, one on toxic text
 that are typical of toxic documents, and the ordinary text that stands around them). A
 window of a text, one word in a fixed frame, is compressed with either; the bytes that
 the toxic dictionary saves are the window's distance. The frame is in both dictionaries,
-so that its cost cancels. A window is a hit if it saves at least `margin` bytes; hits,
-their rate and their savings give a document's score by a logistic curve. Margin and
-curve are calibrated on training documents that the dictionaries were not trained on
-(fold 3); the final dictionaries are then trained on all training documents.
+so that its cost cancels. A window is a hit if it saves enough bytes; the distinct hits
+at each of four margins and their rates give a document's score by a logistic curve,
+which is calibrated on training documents that the dictionaries were not trained on
+(a third of fold 3); the final dictionaries are then trained on all training documents.
 
 Training reads at most about `FIT_ROWS` labelled documents of each class (chosen by a
 hash), the bound on the labels that are broadcast and on the features that reach the
 driver. Scoring reads every window of every whole text.
 
 Defined results: null and empty texts have no window and get the score of no hits;
-repeated words of a text count each time; with labels of one class only, the score is
+a repeated word of a text is one hit; with labels of one class only, the score is
 that class's rate; other columns are not read.
 """
 
@@ -35,8 +35,12 @@ from .common import written
 FIT_ROWS = 12_000
 TOXIC_WINDOWS, ORDINARY_WINDOWS = 1024, 20_000
 TOXIC_BYTES, ORDINARY_BYTES = 4096, 112_640
-#: A word is typical of toxic documents from this z-score and document count on.
-MIN_Z, MIN_DOCS = 5.0, 3
+#: A word is typical of toxic documents from this z-score, number of contexts and ratio on.
+MIN_Z, MIN_CONTEXTS, MIN_LIFT = 6.0, 3, 3.0
+#: Bytes saved from which on a window is a hit, one measure each.
+MARGINS = (2, 3, 4, 5)
+#: Weights that calibration starts from and is drawn to: a hit speaks for toxicity.
+PRIOR = np.array([-3.0, 0.5, 0.0, 1.0, 0.0, 1.0, 0.0, 0.5, 0.0])
 LEFT, RIGHT = b"\n<left frame of the window>", b"<right frame of the window>\n"
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -60,8 +64,7 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
 class Model:
     toxic: bytes
     ordinary: bytes
-    margin: int = 2
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    weights: np.ndarray = field(default_factory=lambda: PRIOR.copy())
 
     LIMIT = 400_000
 
@@ -69,7 +72,7 @@ class Model:
         self._ready = False
 
     def __getstate__(self) -> dict:
-        return {k: getattr(self, k) for k in ("toxic", "ordinary", "margin", "weights")}
+        return {k: getattr(self, k) for k in ("toxic", "ordinary", "weights")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -92,27 +95,30 @@ class Model:
                 self._memo[word] = found
         return found
 
-    def savings(self, text: str | None) -> np.ndarray:
-        saving = self.saving
-        words = windows(text)
-        return np.fromiter((saving(w) for w in words), "i4", len(words))
-
-    def features(self, text: str | None, margin: int | None = None) -> np.ndarray:
-        s = self.savings(text)
-        hits = s[s >= (self.margin if margin is None else margin)]
-        return np.array([1.0, np.log1p(len(hits)), len(hits) / np.sqrt(len(s) + 20), np.log1p(hits.sum())])
+    def features(self, text: str | None) -> np.ndarray:
+        """1, and for each margin the number of distinct hits, as a logarithm and as a
+        rate."""
+        saving, found, n = self.saving, {}, 0
+        for word in windows(text):
+            n += 1
+            saved = saving(word)
+            if saved >= MARGINS[0]:
+                found[word] = saved
+        hits = np.array([[*found.values()]]) >= np.array(MARGINS)[:, None]
+        count = hits.sum(axis=1)
+        return np.r_[1.0, np.column_stack([np.log1p(count), count / np.sqrt(n + 20)]).ravel()]
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.features(text) @ self.weights, -40, 40))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Weights by Newton steps; the first column is the constant and not shrunk."""
-    w, shrink = np.zeros(x.shape[1]), np.r_[1e-6, np.full(x.shape[1] - 1, ridge)]
+def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
+    """Weights by Newton steps, drawn to `prior` where there are few rows."""
+    w, shrink = prior.copy(), np.r_[0.1, np.full(x.shape[1] - 1, ridge)]
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(shrink)
-        step = np.linalg.solve(h, x.T @ (y - p) - shrink * w)
+        step = np.linalg.solve(h, x.T @ (y - p) - shrink * (w - prior))
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -132,16 +138,16 @@ def trained(windows_and_counts: list[tuple[str, int]], size: int, repeat: int) -
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold: Column | None = None) -> Model:
-    """Learns from labelled rows. `fold` numbers rows 0 to 3: calibration uses fold 3,
-    the dictionaries the others."""
+    """Learns from labelled rows. `fold` numbers rows 0 to 3: calibration uses a third of
+    fold 3, its dictionaries all other rows."""
     spark = docs.sparkSession
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_toxic"))
     fold = F.pmod(F.xxhash64("_id"), F.lit(4)) if fold is None else fold
-    known = known.withColumn("_fold", fold)
+    known = known.withColumn("_held", (fold == 3) & (F.pmod(F.xxhash64("_id", F.lit("calibration")), F.lit(3)) == 0))
     sizes = {r._toxic: r.n for r in known.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         rate = 0.98 if sizes.get(1) else 0.02
-        return Model(b"", b"", 2, np.array([np.log(rate / (1 - rate)), 0, 0, 0]))
+        return Model(b"", b"", np.array([np.log(rate / (1 - rate)), *[0.0] * 8]))
     chosen = F.lit(False)
     for value, n in sizes.items():
         one_in = max(1, n // FIT_ROWS)
@@ -149,21 +155,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     some = known.where(chosen).dropDuplicates(["_id"])  # at most some 2 * 2 * FIT_ROWS rows of 16 bytes
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(some), "_id")
 
-    # counts for the calibrated dictionaries (folds but 3) and, in the same pass, for the final ones
-    in_fit = F.when(F.col("_fold") != 3, 1).otherwise(0)
-    words = F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(r"(\p{L}+)"), 1))
-    seen = rows.select((F.col("_toxic") == 1).cast("int").alias("y"), in_fit.alias("f"), F.explode(words).alias("word")).groupBy("word").agg(
-        F.sum("y").alias("t_all"), F.sum(1 - F.col("y")).alias("o_all"), F.sum(F.col("y") * F.col("f")).alias("t_fit"), F.sum((1 - F.col("y")) * F.col("f")).alias("o_fit")
+    # a word counts once for each pair of neighbours, so that copies of a text, near ones
+    # too, add nothing; counts without held rows are for calibration
+    in_fit = F.when(F.col("_held"), 0).otherwise(1)
+    texts = rows.select(F.col("_toxic").alias("y"), in_fit.alias("f"), F.regexp_extract_all(F.lower("_text"), F.lit(r"(\p{L}+)"), 1).alias("ws"))
+    placed = F.transform("ws", lambda w, i: F.struct(w.alias("word"), F.xxhash64(F.get("ws", i - 1), F.get("ws", i + 1)).alias("around")))
+    contexts = texts.select("y", "f", F.explode(placed).alias("p")).groupBy("p.word", "p.around").agg(
+        F.max("y").alias("t_all"), F.max(1 - F.col("y")).alias("o_all"), F.max(F.col("y") * F.col("f")).alias("t_fit"), F.max((1 - F.col("y")) * F.col("f")).alias("o_fit")
     )
-    seen = written(seen.where(f"t_all >= {MIN_DOCS} OR o_all >= 2"), "toxicity-words")
-    totals = {(r._toxic, r._fit): r.n for r in some.groupBy("_toxic", in_fit.alias("_fit")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    kinds = ("t_all", "o_all", "t_fit", "o_fit")
+    seen = written(contexts.groupBy("word").agg(*[F.sum(c).alias(c) for c in kinds]), "toxicity-words")
+    totals = seen.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in kinds]).first()
 
     def dictionaries(kind: str) -> Model:
-        nt, no = (max(1, totals.get((y, 1), 0) + (totals.get((y, 0), 0) if kind == "all" else 0)) for y in (1, 0))
-        t, o = F.col(f"t_{kind}").cast("double"), F.col(f"o_{kind}")
+        nt, no = max(1, totals[f"t_{kind}"]), max(1, totals[f"o_{kind}"])
+        t, o = F.col(f"t_{kind}").cast("double"), F.col(f"o_{kind}").cast("double")
         rate = (t + o) / F.lit(float(nt + no))
         z = (t - nt * rate) / F.sqrt(nt * rate * (1 - rate) + F.lit(1e-9))
-        toxic = seen.where(t >= MIN_DOCS).select("word", t.alias("n"), z.alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "word").limit(TOXIC_WINDOWS).collect()
+        typical = (t >= MIN_CONTEXTS) & (z >= MIN_Z) & (t * no >= MIN_LIFT * o * nt)
+        toxic = seen.where(typical).select("word", t.alias("n"), z.alias("z")).orderBy(F.desc("z"), "word").limit(TOXIC_WINDOWS).collect()
         ordinary = seen.where(o >= 1).select("word", o.alias("n")).orderBy(F.desc("n"), "word").limit(ORDINARY_WINDOWS).collect()
         return Model(
             trained([(r.word, int(r.n)) for r in toxic], TOXIC_BYTES, 40) if toxic else b"",
@@ -172,33 +182,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     model = dictionaries("fit")
     shared = spark.sparkContext.broadcast(model)
-    margins = (2, 3, 4)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            x = [[float(v) for margin in margins for v in m.features(text.as_py(), margin)] for text in batch.column(1)]
+            x = [m.features(text.as_py()).tolist() for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
 
-    held = rows.where("_fold = 3").select(F.col("_toxic").cast("int").alias("toxic"), "_text").mapInArrow(measured, "toxic int, x array<double>").collect()
-    y = np.array([r.toxic for r in held], float)
-    if len(y) < 8 or y.min() == y.max():
-        model.weights = np.array([-3.0, 2.0, 1.0, 0.5])
-        return model
-    # the classes may be thinned differently: give each row its class's weight back
-    true_rate = sizes[1] / (sizes[0] + sizes[1])
-    seen_rate = y.mean()
-    shift = np.log(true_rate / (1 - true_rate)) - np.log(seen_rate / (1 - seen_rate))
-    best = None
-    for i, margin in enumerate(margins):
-        x = np.array([r.x[4 * i : 4 * i + 4] for r in held])
-        w = logistic(x, y)
-        p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-9, 1 - 1e-9)
-        loss = -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
-        if best is None or loss < best[0]:
-            best = (loss, margin, w)
+    held = rows.where("_held").select(F.col("_toxic").cast("int").alias("toxic"), "_text").mapInArrow(measured, "toxic int, x array<double>").collect()
     final = dictionaries("all")
-    final.margin, final.weights = best[1], best[2] + np.r_[shift, 0, 0, 0]
+    y = np.array([r.toxic for r in held], float)
+    if len(y) >= 8 and y.min() < y.max():
+        # the classes may be thinned differently: shift the constant to their true rate
+        true_rate, seen_rate = sizes[1] / (sizes[0] + sizes[1]), y.mean()
+        shift = np.log(true_rate / (1 - true_rate)) - np.log(seen_rate / (1 - seen_rate))
+        final.weights = logistic(np.array([r.x for r in held]), y, PRIOR)
+        final.weights[0] += shift
     return final
 
 
