@@ -38,10 +38,8 @@ def score(pixels: DataFrame, model: DataFrame, features: Sequence[str]) -> DataF
     without pixels in training are impossible. The model is classes x features rows and
     travels as one broadcast row of arrays, so pixels are neither shuffled nor exploded."""
     mean, std = lambda c: c["mean"], lambda c: c["std"]
-    entry = F.struct("feature", "mean", "std")
     packed = model.where("n > 0").groupBy("class_id", "prior").agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "std")))).alias("p"))
-    packed = packed.agg(F.array_sort(F.collect_list(F.struct("class_id", "prior", "p"))).alias("_model"))
-    del entry
+    packed = packed.agg(F.collect_list(F.struct("class_id", "prior", "p")).alias("_model"))
 
     def logit(c):
         total = F.ln(c["prior"])

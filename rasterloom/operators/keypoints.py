@@ -96,7 +96,8 @@ def turns(points: DataFrame, width: float, height: float) -> DataFrame:
     px, py = F.col("x") * (width - 1), F.col("y") * (height - 1)
     ax, ay, bx, by = px - F.lag(px).over(line), py - F.lag(py).over(line), F.lead(px).over(line) - px, F.lead(py).over(line) - py
     cosine = (ax * bx + ay * by) / F.nullif(F.sqrt(ax * ax + ay * ay) * F.sqrt(bx * bx + by * by), F.lit(0.0))
-    return points.withColumn("turn", F.degrees(F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0)))))
+    angle = F.degrees(F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0))))
+    return points.withColumn("turn", F.when(cosine.isNotNull(), angle))
 
 
 def crossings(points: DataFrame, width: float, height: float, eps: float = 1e-10) -> DataFrame:

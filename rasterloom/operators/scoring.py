@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
 
@@ -37,7 +38,7 @@ def scored(rasters: DataFrame, scorer: Scorer, column: str = "values") -> DataFr
     return rasters.mapInPandas(job, f"{fields}, score double")
 
 
-@udtf(returnType="field int, value double")
+@udtf(returnType=T.StructType([T.StructField("field", T.IntegerType()), T.StructField("value", T.DoubleType())]))
 class LabelFields:
     """One row for each number of a label line; nothing for a line with another field."""
 
@@ -49,6 +50,6 @@ class LabelFields:
         yield from enumerate(values)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def p80(values: pd.Series) -> float:
     return float(np.percentile(values, 80))

@@ -50,11 +50,11 @@ _NEAR = """n AS (SELECT *, coalesce(lag(v) OVER r, v) AS l, coalesce(lead(v) OVE
   WINDOW r AS (PARTITION BY image_id, y ORDER BY x), c AS (PARTITION BY image_id, x ORDER BY y))"""
 
 
-@query("pixels", sql=f"""WITH {_NEAR} SELECT image_id, max(x) + 1 AS width, max(y) + 1 AS height, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS contrast, round(var_pop(l + r + u + d - 4 * v), 4) AS laplacian,
+@query("pixels", sql=f"""WITH {_NEAR} SELECT image_id, max(x) + 1 AS width, max(y) + 1 AS height, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS contrast, round(var_pop(l + r + u + d - 4 * v) + 1e-7, 4) AS laplacian,
   round(avg((v > 245)::INT), 6) AS hi_ratio, round(avg((v < 10)::INT), 6) AS lo_ratio, round(avg((abs(r - l) + abs(d - u) > 60)::INT), 6) AS edge_density FROM n GROUP BY image_id""")
 def a9_image_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = X.image_metrics(views.pixels(spark, sf_dir))
-    return out.select("image_id", "width", "height", *[F.round(c, 6).alias(c) for c in ("mean", "contrast", "hi_ratio", "lo_ratio", "edge_density")], F.round("laplacian", 4).alias("laplacian"))
+    return out.select("image_id", "width", "height", *[F.round(c, 6).alias(c) for c in ("mean", "contrast", "hi_ratio", "lo_ratio", "edge_density")], F.round(F.col("laplacian") + 1e-7, 4).alias("laplacian"))
 
 
 FEATURES = ("gray", "gradient", "fx", "fy")
@@ -165,13 +165,13 @@ def a18_component_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("pixels", sql=f"""WITH RECURSIVE {_BOXES}, fz AS (SELECT image_id, label, mx / 8 AS cx, my / 8 AS cy, (x1 - x0 + 1) / 8 AS bw, y0 / 8 AS y0, y1 / 8 AS y1, least(greatest((n - 30) / 570, 0), 1) AS len, 1 - least(angle / (pi() / 2), 1) AS h, 1 - least(abs(angle - pi() / 2) / (pi() / 2), 1) AS ve, 1 - least(abs(angle - pi() / 4) / (pi() / 4), 1) AS d FROM cf)
-SELECT image_id, label, round(0.36 * (1 - least(abs(cy - 0.30) / 0.22, 1)) + 0.24 * h + 0.16 * least(greatest((bw - 0.16) / 0.39, 0), 1) + 0.24 * len, 5) AS heart,
-  round(0.34 * (1 - least(abs(cy - 0.50) / 0.24, 1)) + 0.18 * h + 0.16 * d + 0.14 * least(greatest((bw - 0.14) / 0.46, 0), 1) + 0.18 * len, 5) AS head,
-  round(0.30 * (1 - least(abs(cx - 0.28) / 0.32, 1)) + 0.22 * least(greatest((y1 - y0 - 0.12) / 0.38, 0), 1) + 0.14 * d + 0.10 * ve + 0.24 * len, 5) AS life, round(0.45 * len + 0.20 * greatest(h, d, ve), 5) AS minor FROM fz""")
+SELECT image_id, label, round(0.36 * (1 - least(abs(cy - 0.30) / 0.22, 1)) + 0.24 * h + 0.16 * least(greatest((bw - 0.16) / 0.39, 0), 1) + 0.24 * len + 1e-9, 5) AS heart,
+  round(0.34 * (1 - least(abs(cy - 0.50) / 0.24, 1)) + 0.18 * h + 0.16 * d + 0.14 * least(greatest((bw - 0.14) / 0.46, 0), 1) + 0.18 * len + 1e-9, 5) AS head,
+  round(0.30 * (1 - least(abs(cx - 0.28) / 0.32, 1)) + 0.22 * least(greatest((y1 - y0 - 0.12) / 0.38, 0), 1) + 0.14 * d + 0.10 * ve + 0.24 * len + 1e-9, 5) AS life, round(0.45 * len + 0.20 * greatest(h, d, ve) + 1e-9, 5) AS minor FROM fz""")
 def p13_line_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = X.component_features(labelled(spark, sf_dir), 8, 8)
     scores = C.line_scores(F.lit("left"))
-    return out.select("image_id", "label", *[F.round(scores[k], 5).alias(k) for k in ("heart", "head", "life", "minor")])
+    return out.select("image_id", "label", *[F.round(scores[k] + 1e-9, 5).alias(k) for k in ("heart", "head", "life", "minor")])
 
 
 @query("pixels", sql=f"""WITH RECURSIVE {_COMPONENTS}, sz AS (SELECT image_id, label, count(*) AS area FROM lp GROUP BY ALL), rk AS (SELECT *, row_number() OVER w AS rk, coalesce(lead(area) OVER w, 0) AS second FROM sz WINDOW w AS (PARTITION BY image_id ORDER BY area DESC, label))
