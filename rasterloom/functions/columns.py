@@ -58,9 +58,10 @@ def normalised_path(path: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    out = F.format_string("%.1f TB", n / F.lit(1024.0**4))
+    shown = lambda power, unit: F.format_string(f"%.1f {unit}", F.bround(n / F.lit(1024.0**power), 1))
+    out = shown(4, "TB")
     for power, unit in ((3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
-        out = F.when(n < 1024 ** (power + 1), F.format_string(f"%.1f {unit}", n / F.lit(1024.0**power))).otherwise(out)
+        out = F.when(n < 1024 ** (power + 1), shown(power, unit)).otherwise(out)
     return out
 
 

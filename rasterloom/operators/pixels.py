@@ -113,7 +113,8 @@ def component_features(labelled: DataFrame, width: int, height: int) -> DataFram
         F.covar_samp(F.col("x").cast("double"), F.col("y").cast("double")).alias("cxy"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"),
     )
     half = F.lit(3.141592653589793 / 2)
-    angle = F.abs(0.5 * F.atan2(2 * F.col("cxy"), F.col("vx") - F.col("vy")))
+    # rounded: a symmetric component has no direction, whatever the noise of its moments
+    angle = F.abs(0.5 * F.atan2(2 * F.round("cxy", 9) + 0.0, F.round(F.col("vx") - F.col("vy"), 9) + 0.0))
     rows = rows.withColumn("angle", F.when(F.col("size") > 2, F.coalesce(angle, F.lit(0.0))).otherwise(0.0))
     toward = lambda at, reach: 1 - F.least(F.abs(F.col("angle") - at) / reach, F.lit(1.0))
     return rows.select(

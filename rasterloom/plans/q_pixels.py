@@ -155,7 +155,7 @@ def g5_pixel_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled(spark, sf_dir).select("image_id", "label", "y", "x")
 
 
-_BOXES = f"""{_COMPONENTS}, cf AS (SELECT image_id, label, count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, avg(x) AS mx, avg(y) AS my, CASE WHEN count(*) > 2 THEN coalesce(abs(0.5 * atan2(2 * covar_samp(x, y), var_samp(x) - var_samp(y))), 0) ELSE 0 END AS angle FROM lp GROUP BY image_id, label)"""
+_BOXES = f"""{_COMPONENTS}, cf AS (SELECT image_id, label, count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, avg(x) AS mx, avg(y) AS my, CASE WHEN count(*) > 2 THEN coalesce(abs(0.5 * atan2(2 * round(covar_samp(x, y), 9) + 0.0, round(var_samp(x) - var_samp(y), 9) + 0.0)), 0) ELSE 0 END AS angle FROM lp GROUP BY image_id, label)"""
 
 
 @query("pixels", sql=f"""WITH RECURSIVE {_BOXES} SELECT image_id, label, n::DOUBLE AS length_px, x0 / 8 AS x0, (y1 - y0 + 1) / 8 AS bh, round(mx / 8, 6) AS cx, round(angle, 5) AS angle, round(1 - least(angle / (pi() / 2), 1), 5) AS horizontal, round(1 - least(abs(angle - pi() / 4) / (pi() / 4), 1), 5) AS diagonal FROM cf""")
