@@ -79,7 +79,7 @@ class PairRanks:
 class WordBpe:
     """Encoder and decoder of one vocabulary file."""
 
-    LIMIT = 500_000
+    LIMIT = 250_000  # of about 350 bytes each; workers keep it between tasks
 
     def __init__(self, path: str) -> None:
         import regex

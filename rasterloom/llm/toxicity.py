@@ -66,7 +66,7 @@ class Model:
     ordinary: bytes
     weights: np.ndarray = field(default_factory=lambda: PRIOR.copy())
 
-    LIMIT = 400_000
+    LIMIT = 250_000
 
     def __post_init__(self) -> None:
         self._ready = False
@@ -223,6 +223,8 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float, text_col: str =
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            yield batch.filter(pa.array([m.score(text.as_py()) < threshold for text in batch.column(at)], pa.bool_()))
+            for start in range(0, batch.num_rows, 1024):  # small pieces: whole texts go out again
+                part = batch.slice(start, 1024)
+                yield part.filter(pa.array([m.score(text.as_py()) < threshold for text in part.column(at)], pa.bool_()))
 
     return docs.mapInArrow(job, docs.schema)
