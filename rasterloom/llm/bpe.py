@@ -79,7 +79,7 @@ class PairRanks:
 class WordBpe:
     """Encoder and decoder of one vocabulary file."""
 
-    LIMIT = 250_000  # of about 350 bytes each; workers keep it between tasks
+    LIMIT = 250_000  # of about 350 bytes each
 
     def __init__(self, path: str) -> None:
         import regex
@@ -219,7 +219,7 @@ _coders: dict[str, WordBpe] = {}
 
 
 def coder_of(path: str) -> WordBpe:
-    """The worker process's coder: its memo serves all tasks that run there."""
+    """The worker process's coder, with its tables; a task empties its memo at the end."""
     if path not in _coders:
         _coders[path] = WordBpe(path)
     return _coders[path]
@@ -240,6 +240,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                     ids.append(hashlib.sha256(coded.encode()).hexdigest())
                     decoded.append(hashlib.sha256(plain.encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.memo.clear()  # idle workers live on
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(job, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -255,6 +256,7 @@ def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 part = batch.slice(at, 512)
                 ids = [[int(x) for x in coded.split()] for coded, _ in bpe.strings(["" if t is None else t for t in part.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        bpe.memo.clear()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(job, "doc_id long, ids array<int>")

@@ -95,6 +95,10 @@ class Model:
                 self._memo[word] = found
         return found
 
+    def release(self) -> None:
+        """Drops memo and compressors: idle workers keep their broadcasts."""
+        self._ready, self._memo, self._with, self._without = False, {}, None, None
+
     def features(self, text: str | None) -> np.ndarray:
         """1, and for each margin the number of distinct hits, as a logarithm and as a
         rate."""
@@ -188,6 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             x = [m.features(text.as_py()).tolist() for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
+        m.release()
 
     held = rows.where("_held").select(F.col("_toxic").cast("int").alias("toxic"), "_text").mapInArrow(measured, "toxic int, x array<double>").collect()
     final = dictionaries("all")
@@ -210,6 +215,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             scores = [m.score(text.as_py()) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+        m.release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(job, "doc_id long, score double")
@@ -226,5 +232,6 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float, text_col: str =
             for start in range(0, batch.num_rows, 1024):  # small pieces: whole texts go out again
                 part = batch.slice(start, 1024)
                 yield part.filter(pa.array([m.score(text.as_py()) < threshold for text in part.column(at)], pa.bool_()))
+        m.release()
 
     return docs.mapInArrow(job, docs.schema)
