@@ -10,7 +10,10 @@ band's key. Documents that share a key are candidates:
   (the one whose buckets hold the most documents, as the text that copies derive from);
 * buckets of up to `SMALL` members are compared in full;
 * larger buckets are split by the next band's key and treated in the same way, up to
-  `DEPTH` times. So the pairs grow with the rows and not with the square of a group.
+  `DEPTH` times, which links most of a group with few pairs;
+* members of a larger bucket that these links leave outside the bucket's largest class are
+  compared with every member of another class, in blocks of bounded size. So each pair that
+  shares a key is compared or stands in one class already.
 
 A candidate pair is verified by a banded alignment of its k-mer sequences (bit-parallel
 longest common subsequence; the band is as wide as the threshold allows): it is a link
@@ -42,6 +45,8 @@ THRESHOLD = 0.8
 MINIMA, ROWS, BANDS = 2, 2, 24
 SMALL = 16
 DEPTH = 4
+#: Rows and k-mers that a block of a large bucket holds, about.
+BLOCK_ROWS, BLOCK_KMERS = 256, 200_000
 #: Most ids for which the set of ids to fetch or drop is broadcast; above, it is shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -192,12 +197,44 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([a.filter(kept), b.filter(kept)], ["a", "b"])
 
 
+def _crossed(group: pa.Table) -> pa.Table:
+    """Links (a, b) of classes between a block's rows in `rest` and its other rows. A pair is
+    compared in the first bucket that it shares; two classes are linked once."""
+    group = group.combine_chunks()
+    rest, ids, label = (group.column(c).to_numpy(zero_copy_only=False) for c in ("rest", "id", "label"))
+    band, main = group.column("band")[0].as_py(), group.column("main")[0].as_py()
+    keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    seqs = [np.frombuffer(x.as_py(), "u8") for x in group.column("seq")]
+    n = np.array([len(x) for x in seqs])
+    at = np.flatnonzero(~rest)
+    links: set[tuple[int, int]] = set()
+    if len(at) and rest.any():
+        flat = np.concatenate([labelled(seqs[i]) for i in at])
+        starts = np.cumsum(n[at]) - n[at]
+        for r in np.flatnonzero(rest):
+            least, most = np.minimum(n[at], n[r]), np.maximum(n[at], n[r])
+            near = (label[at] != label[r]) & ((label[at] == main) | (ids[at] > ids[r])) & (least >= THRESHOLD * most)
+            near &= (keys[at] == keys[r]).argmax(axis=1) == band
+            if not near.any():
+                continue
+            own = np.sort(labelled(seqs[r]))
+            same = np.add.reduceat((own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat).astype("i8"), starts)
+            near &= same >= THRESHOLD * (least + most) / (1 + THRESHOLD) - 1e-9
+            for i in at[near]:
+                pair = (int(min(label[i], label[r])), int(max(label[i], label[r])))
+                if pair not in links and similarity(seqs[r], seqs[i]) > 0:
+                    links.add(pair)
+    found = sorted(links)
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
 def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _candidates(texts: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of the representatives in `texts` (id, n, keys)."""
+def _candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b), a < b, of the representatives in `texts` (id, n, keys), and the
+    members (key, band, id, n) of the buckets that these do not compare in full."""
     rows = texts.select("id", "n", F.posexplode("keys").alias("band", "key"))
     pairs = None
     for depth in range(DEPTH):
@@ -216,12 +253,37 @@ def _candidates(texts: DataFrame) -> DataFrame:
         found = led.unionByName(full)
         pairs = found if pairs is None else pairs.unionByName(found)
         large = shared.where(F.col("size") > SMALL)
+        if depth == 0:
+            first = large.select("key", "band", "id", "n")
         if depth + 1 == DEPTH or large.isEmpty():
             break
         following = large.select("key", "band", "id", "n").join(texts.select("id", "keys"), "id")
         next_key = F.element_at("keys", F.pmod(F.col("band") + depth + 1, F.lit(BANDS)).cast("int") + 1)
         rows = following.select("id", "n", "band", F.xxhash64("key", next_key).alias("key"))
-    return pairs.distinct()
+    return pairs.distinct(), first
+
+
+def _rest(large: DataFrame, labels: DataFrame, texts: DataFrame, seqs: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes in `labels` that meet in the buckets `large`."""
+    members = large.join(labels, "id", "left").select("key", "band", "id", "n", F.coalesce("label", "id").alias("label"))
+    members = written(members, "near-large")
+    sizes = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("kmers"))
+    keys = sizes.groupBy("key").agg(F.max(F.struct("size", "label", "kmers")).alias("top"), F.sum("size").alias("size"), F.sum("kmers").alias("kmers"))
+
+    def blocks(size, kmers):
+        return F.ceil(F.greatest(size / BLOCK_ROWS, kmers / BLOCK_KMERS)).cast("int")
+
+    keys = keys.where("size > top.size").select(
+        "key", F.col("top.label").alias("main"), blocks(F.col("size"), F.col("kmers")).alias("blocks"),
+        blocks(F.col("size") - F.col("top.size"), F.col("kmers") - F.col("top.kmers")).alias("rest_blocks"),
+    )
+    members = members.join(keys, "key")
+    columns = ["key", "band", "id", "label", "main"]
+    drawn = F.xxhash64("id")
+    rest = members.where("label <> main").select(*columns, F.lit(True).alias("rest"), F.pmod(drawn, "rest_blocks").cast("int").alias("i"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("j"))
+    every = members.select(*columns, F.lit(False).alias("rest"), F.explode(F.expr("sequence(0, rest_blocks - 1)")).alias("i"), F.pmod(drawn, "blocks").cast("int").alias("j"))
+    rows = rest.unionByName(every).join(texts.select("id", "keys"), "id").join(seqs, "id")
+    return rows.groupBy("key", "i", "j").applyInArrow(_crossed, "a long, b long")
 
 
 def _only(rows: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
@@ -255,17 +317,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     bodies = written(bodies, "near-bodies")
     texts = sketches.join(bodies.select(F.col("body").alias("body1"), "first"), (F.col("id") == F.col("first")) & (F.col("body") == F.col("body1"))).select("id", "n", "keys")
     texts = written(texts.dropDuplicates(["id"]), "near-texts")
-    pairs = written(_candidates(texts), "near-pairs")
-    needed = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+    pairs, large = _candidates(texts)
+    pairs = written(pairs, "near-pairs")
+    needed = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(large.select(F.col("id").alias("a"))).distinct()
     seqs = _only(rows.where(F.col("id").isNotNull()), written(needed, "near-needed"), "id", "left_semi").mapInArrow(_sequences, "id long, seq binary")
     seqs = written(seqs.dropDuplicates(["id"]), "near-sequences")
     left = seqs.select(F.col("id").alias("a"), F.col("seq").alias("x"))
     right = seqs.select(F.col("id").alias("b"), F.col("seq").alias("y"))
     links = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
     labels = components(links)
+    merged = components(_rest(large, labels, texts, seqs)).select(F.col("id").alias("part"), F.col("label").alias("whole"))
     changed = (
         bodies.join(labels, bodies["first"] == labels["id"], "left")
-        .select("body", "copies", "first", F.coalesce("label", "first").alias("class_id"))
+        .select("body", "copies", "first", F.coalesce("label", "first").alias("part"))
+        .join(merged, "part", "left")
+        .select("body", "copies", "first", F.coalesce("whole", "part").alias("class_id"))
         .where("copies > 1 OR class_id <> first").select("body", "class_id")
     )
     found = sketches.select("id", "body").join(changed, "body", "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"))

@@ -188,6 +188,25 @@ def test_near_dedup_hot_group(spark):
     assert got == _classes(texts)
 
 
+def test_near_dedup_hot_group_of_chains(spark):
+    """Two centres; chains lead away from them, so that a link's bands all stand in large buckets."""
+    rng = random.Random(10)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    texts = []
+    centre = [rng.choice(vocabulary) for _ in range(150)]
+    for words in (centre, [rng.choice(vocabulary) if i in (10, 40, 70, 100, 130) else w for i, w in enumerate(centre)]):
+        texts.append((len(texts), " ".join(words)))
+        for _ in range(200):
+            step = words
+            for _ in range(2):
+                step = list(step)
+                for at in rng.sample(range(150), 3):
+                    step[at] = rng.choice(vocabulary)
+                texts.append((len(texts), " ".join(step)))
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(documents(spark, texts)).collect()}
+    assert got == _classes(texts)
+
+
 def test_alignment_is_a_banded_lcs():
     rng = random.Random(2)
     for _ in range(200):
