@@ -41,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of ids and decoded text."""
-    return bpe.encode_documents(docs, queries._vocabulary("word_bpe_49k.json"))
+    return bpe.encode_documents(docs, queries._vocabulary("word_bpe_49k.json"), added=True)
 
 
 STAGES = [

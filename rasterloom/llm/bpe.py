@@ -11,8 +11,9 @@ The vocabulary file (JSON of the tokenizers library) is a parameter and is only
 Supported is its kind of word BPE: NFC, lower case, white space dropped, byte symbols
 and a suffix that ends a word.
 
-Defined results: null text counts as empty; empty and blank texts give no ids; special
-tokens' strings in a text are ordinary text; other columns are not read.
+Defined results: null text counts as empty; empty and blank texts give no ids; strings of
+added tokens in a text become their ids with `added`, as the library does by default, and
+are ordinary text without; other columns are not read.
 """
 
 from __future__ import annotations
@@ -81,15 +82,21 @@ class WordBpe:
 
     LIMIT = 250_000  # of about 350 bytes each
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: bool = False) -> None:
         import regex
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model = file["model"]
         vocab, self.suffix = model["vocab"], model["end_of_word_suffix"] or ""
-        self.names = [""] * (max(vocab.values()) + 1)
-        for name, i in vocab.items():
+        tokens = {t["content"]: t["id"] for t in file["added_tokens"]}
+        self.names = [""] * (max([*vocab.values(), *tokens.values()]) + 1)
+        for name, i in [*vocab.items(), *tokens.items()]:
             self.names[i] = name
+        self.added = tokens if added else {}
+        if any(t[k] for t in file["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens must stand for their exact content")
+        self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(tokens, key=len, reverse=True))) if self.added else None
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         ids = np.array([[vocab[a], vocab[b], vocab[a + b]] for a, b in merges], "i8")
         self.table = PairRanks(ids[:, :2], ids[:, 2])
@@ -193,12 +200,20 @@ class WordBpe:
             flat = [i for w in ws for i in ids[w]]
             self.memo[chunk] = (" ".join(map(str, flat)), " ".join([names[i] for i in flat]))
 
+    def _chunks(self, text: str) -> list[str]:
+        """Pieces between spaces and line feeds; added tokens are pieces of their own."""
+        if self.added and any(t in text for t in self.added):
+            text = self.cut.sub(lambda m: f" {m[0]} ", text)
+        return text.replace("\n", " ").split(" ")
+
     def strings(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """For each text: decimal ids joined by spaces, and the decoded text (tokens
         joined by spaces, as a decoder-less vocabulary decodes)."""
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
+        chunks = [self._chunks(t) for t in texts]
         if len(self.memo) > self.LIMIT:
             self.memo.clear()
+        for token, i in self.added.items():
+            self.memo[token] = (str(i), self.names[i])
         missing = {c for cs in chunks for c in cs} - self.memo.keys()
         if missing:
             self._learn(list(missing))
@@ -215,21 +230,21 @@ class WordBpe:
         return " ".join(self.names[i] for i in ids)
 
 
-_coders: dict[str, WordBpe] = {}
+_coders: dict[tuple[str, bool], WordBpe] = {}
 
 
-def coder_of(path: str) -> WordBpe:
+def coder_of(path: str, added: bool = False) -> WordBpe:
     """The worker process's coder, with its tables; a task empties its memo at the end."""
-    if path not in _coders:
-        _coders[path] = WordBpe(path)
-    return _coders[path]
+    if (path, added) not in _coders:
+        _coders[path, added] = WordBpe(path, added)
+    return _coders[path, added]
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder_of(path)
+        bpe = coder_of(path, added)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -246,11 +261,11 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     return rows.mapInArrow(job, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """doc_id and ids array<int> of every whole text."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder_of(path)
+        bpe = coder_of(path, added)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

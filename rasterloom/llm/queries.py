@@ -72,7 +72,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.new_path(spark)
-    token_files.write_tokens(table(spark, sf_dir, "documents"), token_files.tokenizer_encoder(_vocabulary("byte_bpe_50k.json")), path, vocab_size=50257)
+    token_files.write_tokens(table(spark, sf_dir, "documents"), token_files.tokenizer_encoder(_vocabulary("byte_bpe_50k.json"), added=True), path, vocab_size=50257)
     return token_files.read_tokens(spark, path)
 
 
@@ -96,7 +96,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), added=True)
 
 
 QUERIES = {

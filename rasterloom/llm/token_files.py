@@ -158,12 +158,13 @@ class PieceEncoder:
 
     Its pre-tokenizer always cuts before a space that stands between other characters,
     so a text's pieces between spaces are encoded once and kept in a bounded memo. Texts
-    in which a space touches other white space on both sides go to the library whole.
+    in which a space touches other white space on both sides go to the library whole, as
+    do texts that hold an added token, unless `added` is off and these are ordinary text.
     """
 
     LIMIT = 1_800_000  # of about 170 bytes each
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: bool = False) -> None:
         import os
         import re
 
@@ -173,7 +174,8 @@ class PieceEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = not added
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()] if added else []
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.starts = np.zeros(max(vocab.values()) + 1, bool)
         self.starts[[i for s, i in vocab.items() if s.startswith("Ġ")]] = True
@@ -203,7 +205,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if any(g in t for g in self.gaps) and self.unsafe.search(t)]
+        whole = [i for i, t in enumerate(texts) if any(a in t for a in self.added) or any(g in t for g in self.gaps) and self.unsafe.search(t)]
         for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
             out[i] = ids
         pieces = {i: texts[i].split(" ") for i, ids in enumerate(out) if ids is None}
@@ -220,18 +222,19 @@ class PieceEncoder:
         return out
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
-def encoder_of(path: str) -> PieceEncoder:
+def encoder_of(path: str, added: bool = False) -> PieceEncoder:
     """The worker process's encoder: its memo serves all tasks that run there."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    if (path, added) not in _encoders:
+        _encoders[path, added] = PieceEncoder(path, added)
+    return _encoders[path, added]
 
 
-def tokenizer_encoder(path: str) -> Callable[[], Callable[[list[str]], list[bytes]]]:
-    return lambda: encoder_of(path).encode
+def tokenizer_encoder(path: str, added: bool = False) -> Callable[[], Callable[[list[str]], list[bytes]]]:
+    """`added`: the file's added tokens become their ids, as the library does by default."""
+    return lambda: encoder_of(path, added).encode
 
 
 # ---------------------------------------------------------------- jobs

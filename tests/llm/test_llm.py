@@ -275,6 +275,32 @@ def test_bpe_equals_the_library(spark):
     assert got == {i: d for i, (_, d) in enumerate(coder.strings(texts))}
 
 
+ADDED = [
+    "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y", "<|endoftext|><|endoftext|> c", "a\n<|endoftext|>  b \n", "<|startoftext|>don't <|endoftext|>'s",
+    "<|ENDOFTEXT|> <|endoftext|", "e\u0301<|endoftext|>\u0301 x", "  <|startoftext|>  ", "<|<|endoftext|>|>", "plain text",
+]
+
+
+def test_added_tokens_become_their_ids_as_in_the_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    for name, query in (("byte_bpe_50k.json", queries.op7_token_files), ("word_bpe_49k.json", queries.op10_bpe)):
+        tok = Tokenizer.from_file(queries._vocabulary(name))
+        tok.no_truncation()
+        tok.no_padding()
+        at = str(tmp_path / name)
+        spark.createDataFrame([(i, t) for i, t in enumerate(ADDED)], "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+        got = {r.doc_id: r for r in query(spark, at).collect()}
+        for i, text in enumerate(ADDED):
+            ids = tok.encode(text, add_special_tokens=False).ids
+            if name.startswith("byte"):
+                assert (got[i].n_tokens, got[i].ids_crc32) == (len(ids) + 1, zlib.crc32(np.array([*ids, 0], "<u4").tobytes())), text
+            else:
+                plain = tok.decode(ids, skip_special_tokens=False)
+                want = [hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), plain)]
+                assert [got[i].ids_sha256, got[i].decoded_sha256] == want and got[i].n_tokens == len(ids), text
+
+
 def test_licences(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy.\nThe above copyright notice and this permission notice shall be included in all copies. The software is provided \"as is\", without warranty of any kind!"
     rows = [(1, mit), (2, "Prose.\nLicensed under the Apache License, Version 2.0.\nReleased under the MIT License."), (3, "licence talk"), (4, None)]
