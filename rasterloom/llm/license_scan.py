@@ -1,8 +1,9 @@
 """Licence scan by sentence rules, with DataFrame functions only.
 
-A text is cut into sentences; a sentence is normalised (lower case, letters, digits and
-the dots of version numbers, single spaces) and looked up in a table of known licence
-sentences. The identifiers found, in text order, are matched against ordered rules: a
+A text is normalised (lower case, letters, digits and the dots of version numbers, single
+spaces, marks for line feeds and punctuation) and searched for known licence sentences. A
+sentence starts and ends at a line feed, at punctuation or at an end of the text; within
+it may stand line feeds, ``:`` and ``;``, so that wrapped notices are found. The identifiers found, in text order, are matched against ordered rules: a
 rule is a sequence of sentence identifiers, which must follow one another among the
 identifiers of the text. Rules stand from specific to general; at each place the first
 rule that fits claims the sentences, so that a general rule only sees what is left.
@@ -16,6 +17,8 @@ occurs; very long texts are scanned whole; other columns pass through, but for
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +45,36 @@ SENTENCES = {
     "all rights reserved": "reserved",
 }
 
+# Sentences of the licences' standard notices, in full.
+_GPL = "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+NOTICES = {
+    "licensed under the apache license version 2.0 the license": "apache2-notice",
+    "apache license version 2.0 january 2004": "apache2-notice",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+    "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished "
+    "to do so subject to the following conditions": "mit-grant",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit-condition",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "as-is",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and "
+    "fitness for a particular purpose are disclaimed": "as-is",
+    _GPL + "either version 3 of the license or at your option any later version": "gpl3-notice",
+    _GPL + "version 3 of the license": "gpl3-notice",
+    _GPL + "version 3": "gpl3-notice",
+    _GPL + "either version 2 of the license or at your option any later version": "gpl2-notice",
+    _GPL + "version 2 of the license": "gpl2-notice",
+    _GPL + "version 2": "gpl2-notice",
+    "gnu general public license version 3 29 june 2007": "gpl3-notice",
+    "gnu general public license version 2 june 1991": "gpl2-notice",
+    "spdx license identifier gpl 3.0 only": "gpl3-spdx",
+    "spdx license identifier gpl 3.0 or later": "gpl3-spdx",
+    "spdx license identifier gpl 2.0": "gpl2-spdx",
+    "spdx license identifier gpl 2.0 only": "gpl2-spdx",
+    "spdx license identifier gpl 2.0 or later": "gpl2-spdx",
+    "spdx license identifier bsd 2 clause": "bsd-spdx",
+    "spdx license identifier bsd 3 clause": "bsd-spdx",
+}
+
 # Ordered rules (licence, sentence identifiers that follow one another).
 RULES = [
     ("MIT", ("mit-grant", "mit-condition", "as-is")),
@@ -65,23 +98,35 @@ RULES = [
     ("Proprietary", ("reserved",)),
 ]
 
-#: A word that every known sentence has one of: only sentences with it are normalised.
-MARKS = r"(?i)licen|permission|warranty|redistribut|rights reserved"
+# Rules of the sentences that only `NOTICES` has; they come last.
+NOTICE_RULES = [("GPL-2.0", ("gpl2-notice",)), ("GPL-2.0", ("gpl2-spdx",)), ("BSD", ("bsd-spdx",))]
+
+#: A word that every known sentence has one of: only texts with it are normalised.
+MARKS = r"(?i)licen|permission|warrant|redistribut|rights\W+reserved"
+
+#: Marks in normalised text: ``|`` for ``.``, ``!`` or ``?`` before white space, where a
+#: sentence ends; ``~`` for a line feed, ``;`` or ``:``, where it can end or go on.
+SENTENCE_END, LINE_END = r"[.!?;:]*[.!?][.!?;:]*(?=\s|$)", r"\n|[;:]+(?=\s|$)"
+
 
-#: Sentences end at a line feed, or at ``.``, ``!``, ``?``, ``;`` or ``:`` before white space.
-ENDS = r"\n|[.!?;:]+(?=\s|$)"
+def normalise(text: Column) -> Column:
+    """The text's words and marks, with single spaces, as `` | words ~ words | ``."""
+    kept = F.regexp_replace(F.lower(text), r"[|~]", " ")
+    kept = F.regexp_replace(F.regexp_replace(kept, SENTENCE_END, " | "), LINE_END, " ~ ")
+    kept = F.regexp_replace(kept, r"[^a-z0-9.|~]+|\.(?!\d)", " ")
+    return F.concat(F.lit(" | "), F.trim(F.regexp_replace(kept, " +", " ")), F.lit(" | "))
 
 
-def normalise(sentence: Column) -> Column:
-    kept = F.regexp_replace(F.lower(sentence), r"[^a-z0-9.]+|\.(?!\d)", " ")
-    return F.trim(F.regexp_replace(kept, " +", " "))
+def _pattern() -> str:
+    """Known sentences between two marks, the longest first; spaces may hold line ends."""
+    found = sorted(SENTENCES | NOTICES, key=len, reverse=True)
+    return r"(?<=[|~] )(" + "|".join("(?: ~)* ".join(re.escape(w) for w in s.split(" ")) for s in found) + r")(?= [|~])"
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    parts = F.filter(F.split(text, ENDS), lambda s: s.rlike(MARKS))
-    found = F.filter(F.transform(parts, lambda s: known[normalise(s)]), lambda x: x.isNotNull())
+    known = F.create_map(*[F.lit(x) for pair in (SENTENCES | NOTICES).items() for x in pair])
+    found = F.transform(F.regexp_extract_all(normalise(text), F.lit(_pattern())), lambda s: known[F.replace(s, F.lit(" ~"), F.lit(""))])
     return F.when(text.rlike(MARKS), found).otherwise(F.array().cast("array<string>"))
 
 
@@ -89,7 +134,7 @@ def matches(ids: Column) -> Column:
     """Rules met: array of struct(rule, licence), in rule order, with what each claims."""
     # identifiers joined as |a|b|; a claimed stretch becomes #, which no rule matches
     line = F.concat(F.lit("|"), F.array_join(ids, "||"), F.lit("|"))
-    rules = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(name).alias("licence"), F.lit("".join(f"|{x}|" for x in seq)).alias("seq")) for i, (name, seq) in enumerate(RULES)])
+    rules = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(name).alias("licence"), F.lit("".join(f"|{x}|" for x in seq)).alias("seq")) for i, (name, seq) in enumerate(RULES + NOTICE_RULES)])
     start = F.struct(line.alias("rest"), F.array().cast("array<struct<rule:int,licence:string,times:int>>").alias("hits"))
 
     def step(acc: Column, rule: Column) -> Column:
@@ -113,6 +158,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _oracle() -> str:
+    """One-line notices only; the table's sentences that wrap or go on are tested by hand."""
     names = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in SENTENCES.items()) + "}"
     line = "line"
     steps, count, names_hit = [], [], []

@@ -308,6 +308,54 @@ def test_licences(spark):
     assert got[1] == (["MIT"], [1]) and got[2] == (["Apache-2.0", "MIT"], [1, 1]) and got[3][0] == [] and got[4][0] == []
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version {v} of the License, or
+(at your option) any later version."""
+
+
+def test_standard_licence_headers(spark):
+    def comment(x):
+        return "/*\n * " + x.replace("\n", "\n * ") + "\n */\nint main() {}"
+
+    full = [(APACHE, "Apache-2.0"), (MIT, "MIT"), (BSD, "BSD"), (GPL.format(v=3), "GPL-3.0"), (GPL.format(v=2), "GPL-2.0")]
+    tags = [("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3.0"), ("GPL-3.0-or-later", "GPL-3.0"), ("BSD-3-Clause", "BSD")]
+    cases = [(form(x), [name]) for x, name in full for form in (str, comment, lambda x: " ".join(x.split()))]
+    cases += [(f"# SPDX-License-Identifier: {tag}\nx = 1", [name]) for tag, name in tags]
+    cases += [("All rights\nreserved.", ["Proprietary"]), ("They were\nreleased under the MIT license\ntoday", ["MIT"]), ("It was released under the MIT license.", []), ("Is it licensed?\nUnder the MIT license.", [])]
+    got = {r.doc_id: r.licences for r in license_scan.scan(documents(spark, [(i, t) for i, (t, _) in enumerate(cases)])).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+
+
 def test_toxicity_learns_words(spark):
     rng = random.Random(8)
     ordinary = ["".join(rng.choice(["an", "ti", "on", "er", "sh", "ble"]) for _ in range(rng.randint(1, 4))) for _ in range(800)]
