@@ -14,10 +14,12 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new
-    temporary folder where that is unset (local tests)."""
+    temporary folder where that is unset in local mode (tests)."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     if sc.getCheckpointDir() is None:
@@ -34,6 +36,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most rows of a table of ids that is broadcast; above it, the join shuffles.
+BROADCAST_IDS = 1_000_000
+
+
+def small_side(ids: DataFrame) -> DataFrame:
+    """A written table of ids as the side of a join: broadcast if it is small."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
+def mark(text: Column) -> Column:
+    """Tells rows of one id by their texts."""
+    return F.xxhash64(text)
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`docs` without the rows that the written table `gone` (id, mark) names; null ids
+    and null texts count as values."""
+    same = docs[id_col].cast("long").eqNullSafe(gone["id"]) & mark(docs[text_col]).eqNullSafe(gone["mark"])
+    return docs.join(small_side(gone), same, "left_anti")
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4; fold 2 is held out of all training."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4, F.lit(0))

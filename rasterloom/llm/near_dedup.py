@@ -4,33 +4,37 @@ A text's words (letters, digits and underscores, in lower case) give its sequenc
 `K`-word k-mers; a k-mer's repetitions carry their occurrence number. A sketch takes the
 `MINIMA` smallest of a random order over these and keeps them in text order, so that it
 answers to edit similarity and not only to what the sets share. `ROWS` sketches make a
-band's key. Documents that share a key are candidates:
-
-* every member of a bucket is compared with the bucket's leader, its most central member
-  (the one whose buckets hold the most documents, as the text that copies derive from);
-* buckets of up to `SMALL` members are compared in full;
-* larger buckets are split by the next band's key and treated in the same way, up to
-  `DEPTH` times, which links most of a group with few pairs;
-* members of a larger bucket that these links leave outside the bucket's largest class are
-  compared with every member of another class, in blocks of bounded size. So each pair that
-  shares a key is compared or stands in one class already.
-
-A candidate pair is verified by a banded alignment of its k-mer sequences (bit-parallel
-longest common subsequence; the band is as wide as the threshold allows): it is a link
-if aligned / (a + b - aligned) reaches `THRESHOLD`. Links are joined into classes by
-label propagation with pointer jumping, in tables of the shared folder.
+band's key. Texts that share a key are candidates, and each candidate pair is compared,
+stands in one class already, or is ruled out by the bound below:
+
+* buckets of up to `SMALL` texts are compared in full;
+* in a larger one every text is compared with the bucket's leader, its most central text
+  (the one whose buckets hold the most texts, as the text that copies derive from);
+* buckets of one leader are one group. Its texts that are not linked to the leader are then
+  compared with all others of the group, in blocks of bounded size: k-mers shared by all
+  pairs of a block are counted at once, and only pairs with enough of them are verified.
+
+So each candidate pair is compared or stands in one class already; no pair is lost, and
+work that grows with a group's square is left only for texts away from its leader.
+
+A pair is verified by a banded alignment of its k-mer sequences (bit-parallel longest
+common subsequence in integers of the band's width; the band is as wide as the threshold
+allows): it is a link if aligned / (a + b - aligned) reaches `THRESHOLD`. Links are joined
+into classes by label propagation with pointer jumping, in tables of the shared folder.
 
 Defined results: texts of the same words are one text from the start, so copies make no
 pairs; texts under `K` words have one k-mer, the whole text; null and empty texts and
-texts without words are classes of their own; a class's id is its smallest doc_id; rows
-with a null doc_id have a null class_id and are kept; repeated rows with the class's id
-are all kept; whole texts are used; other columns are not read.
+texts without words are classes of their own; a class's id is its smallest doc_id (null if
+it has none); rows with a null doc_id stand in their text's class and are not kept where
+it has an id; repeated rows with the class's id are all kept; a doc_id that stands on
+several texts is in the class of each; whole texts are used; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,17 +42,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import mark, small_side, without_rows, written
 
 K = 5
 THRESHOLD = 0.8
 MINIMA, ROWS, BANDS = 2, 2, 24
+#: Buckets compared in full; a plan choice, which leaves the links alone.
 SMALL = 16
-DEPTH = 4
-#: Rows and k-mers that a block of a large bucket holds, about.
-BLOCK_ROWS, BLOCK_KMERS = 256, 200_000
-#: Most ids for which the set of ids to fetch or drop is broadcast; above, it is shuffled.
-BROADCAST_IDS = 1_000_000
+#: Texts and k-mers that a block of a large group holds, about; k-mers counted at a time.
+BLOCK_TEXTS, BLOCK_KMERS, COUNTED = 512, 200_000, 4096
 
 _WORD = re.compile(r"\w+")
 _SEEDS = np.random.default_rng(2024).integers(1, 1 << 63, BANDS * ROWS, dtype=np.int64).astype("u8") | np.uint64(1)
@@ -121,33 +123,50 @@ def band_keys(x: np.ndarray) -> np.ndarray:
 
 def _aligned(x: np.ndarray, y: np.ndarray, reach: int) -> int:
     """Longest common subsequence of two sequences whose aligned places differ by at
-    most `reach`; the sequences' bits of a column stand in one integer."""
-    masks: dict[int, int] = {}
+    most `reach`. The columns of the band, `reach` to either side of the row's own, are the
+    bits of one integer, which slides one column a row; a 0 bit is one aligned place."""
+    places: dict[int, list[int]] = {}
     for j, s in enumerate(y.tolist()):
-        masks[s] = masks.get(s, 0) | 1 << j
-    whole = (1 << len(y)) - 1
-    band = (1 << (2 * reach + 1)) - 1
-    row = whole
+        places.setdefault(s, []).append(j)
+    wide = 2 * reach + 1
+    whole = (1 << wide) - 1
+    row, gone = whole, 0
     for i, s in enumerate(x.tolist()):
-        hit = masks.get(s)
-        if hit is None:
+        low = i - reach  # the column of bit 0
+        if i:
+            gone += not row & 1
+            row = row >> 1 | 1 << (wide - 1)
+        found = places.get(s)
+        if found is None:
             continue
-        hit &= band << (i - reach) if i >= reach else band >> (reach - i)
+        if len(found) == 1:
+            at = found[0] - low
+            hit = 1 << at if 0 <= at < wide else 0
+        else:
+            hit = 0
+            for j in found[bisect_left(found, low) : bisect_left(found, low + wide)]:
+                hit |= 1 << (j - low)
         if hit:
             kept = row & hit
             row = ((row + kept) | (row - kept)) & whole
-    return len(y) - row.bit_count()
+    return gone + wide - row.bit_count()
+
+
+def shared_kmers(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Labelled k-mers, sorted, that stand in both."""
+    return np.intersect1d(labelled(x), labelled(y), assume_unique=True)
 
 
-def similarity(x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD) -> float:
-    """Aligned share of two k-mer sequences; 0 where it can't reach the threshold."""
+def similarity(x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD, same: int | None = None) -> float:
+    """Aligned share of two k-mer sequences; 0 where it can't reach the threshold. `same`
+    is the number of labelled k-mers that both have, if it is known."""
     total = len(x) + len(y)
     if not total:
         return 0.0
     need = threshold * total / (1 + threshold) - 1e-9
     if min(len(x), len(y)) < need:
         return 0.0
-    if len(np.intersect1d(labelled(x), labelled(y), assume_unique=True)) < need:
+    if (len(shared_kmers(x, y)) if same is None else same) < need:
         return 0.0
     short = min(len(x), len(y))
     differ = np.flatnonzero(x[:short] != y[:short])
@@ -163,9 +182,39 @@ def similarity(x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD) -> fl
     return found if found >= threshold - 1e-12 else 0.0
 
 
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many labelled k-mers each sequence of `left` shares with each of `right`: a
+    product of their incidence matrices, over the k-mers that stand on both sides."""
+    sides = []
+    for seqs in (left, right):
+        flat = np.concatenate([labelled(x) for x in seqs])
+        sides.append((flat, np.repeat(np.arange(len(seqs)), [len(x) for x in seqs])))
+    common = np.intersect1d(sides[0][0], sides[1][0])
+    out = np.zeros((len(left), len(right)), "f4")
+    places = []
+    for flat, row in sides:
+        at = np.searchsorted(common, flat)
+        hit = (at < len(common)) & (common[np.minimum(at, len(common) - 1)] == flat) if len(common) else np.zeros(len(flat), bool)
+        order = np.argsort(at[hit], kind="stable")
+        places.append((at[hit][order], row[hit][order]))
+    for start in range(0, len(common), COUNTED):
+        part = []
+        for (at, row), seqs in zip(places, (left, right)):
+            low, high = np.searchsorted(at, [start, start + COUNTED])
+            dense = np.zeros((len(seqs), COUNTED), "f4")
+            dense[row[low:high], at[low:high] - start] = 1
+            part.append(dense)
+        out += part[0] @ part[1].T
+    return out.astype("i8")
+
+
 # ---------------------------------------------------------------- jobs
 
 
+def _body(found: list[str]) -> bytes:
+    return hashlib.md5("\0".join(found).encode("utf-8", "replace")).digest()
+
+
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
@@ -175,17 +224,18 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found = words(text.as_py())
                 if found:
                     keys = band_keys(labelled(kmers(word_hashes(found)))).view("i8")
-                    rows.append((hashlib.md5("\0".join(found).encode("utf-8", "replace")).digest(), max(1, len(found) - K + 1), keys))
+                    rows.append((_body(found), max(1, len(found) - K + 1), keys))
                 else:
                     rows.append((None, 0, None))
             columns = [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["id", "body", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *columns], ["id", "mark", "body", "n", "keys"])
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seqs = [kmers(word_hashes(words(text.as_py()))).tobytes() for text in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seqs, pa.binary())], ["id", "seq"])
+        found = [words(text.as_py()) for text in batch.column(0)]
+        seqs = [kmers(word_hashes(f)).tobytes() for f in found]
+        yield pa.RecordBatch.from_arrays([pa.array([_body(f) for f in found], pa.binary()), pa.array(seqs, pa.binary())], ["body", "seq"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,100 +247,87 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([a.filter(kept), b.filter(kept)], ["a", "b"])
 
 
+def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        linked = [similarity(np.frombuffer(x.as_py(), "u8"), np.frombuffer(y.as_py(), "u8")) > 0 for x, y in zip(batch.column(3), batch.column(4))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(linked, pa.bool_())], ["lead", "id", "n", "linked"])
+
+
 def _crossed(group: pa.Table) -> pa.Table:
-    """Links (a, b) of classes between a block's rows in `rest` and its other rows. A pair is
-    compared in the first bucket that it shares; two classes are linked once."""
+    """Links (a, b) of a block between its rows in `rest`, which no leader is linked to, and
+    its other rows; of these, one link to the leader's class is enough for a text."""
     group = group.combine_chunks()
-    rest, ids, label = (group.column(c).to_numpy(zero_copy_only=False) for c in ("rest", "id", "label"))
-    band, main = group.column("band")[0].as_py(), group.column("main")[0].as_py()
-    keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    rest, linked = (group.column(c).to_numpy(zero_copy_only=False) for c in ("rest", "linked"))
+    ids = group.column("id").to_pylist()
     seqs = [np.frombuffer(x.as_py(), "u8") for x in group.column("seq")]
     n = np.array([len(x) for x in seqs])
-    at = np.flatnonzero(~rest)
-    links: set[tuple[int, int]] = set()
-    if len(at) and rest.any():
-        flat = np.concatenate([labelled(seqs[i]) for i in at])
-        starts = np.cumsum(n[at]) - n[at]
-        for r in np.flatnonzero(rest):
-            least, most = np.minimum(n[at], n[r]), np.maximum(n[at], n[r])
-            near = (label[at] != label[r]) & ((label[at] == main) | (ids[at] > ids[r])) & (least >= THRESHOLD * most)
-            near &= (keys[at] == keys[r]).argmax(axis=1) == band
-            if not near.any():
-                continue
-            own = np.sort(labelled(seqs[r]))
-            same = np.add.reduceat((own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat).astype("i8"), starts)
-            near &= same >= THRESHOLD * (least + most) / (1 + THRESHOLD) - 1e-9
-            for i in at[near]:
-                pair = (int(min(label[i], label[r])), int(max(label[i], label[r])))
-                if pair not in links and similarity(seqs[r], seqs[i]) > 0:
-                    links.add(pair)
-    found = sorted(links)
-    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-
-
-def _pair(x: str, y: str) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-
-def _candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs (a, b), a < b, of the representatives in `texts` (id, n, keys), and the
-    members (key, band, id, n) of the buckets that these do not compare in full."""
-    rows = texts.select("id", "n", F.posexplode("keys").alias("band", "key"))
-    pairs = None
-    for depth in range(DEPTH):
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        shared = written(rows.join(sizes, "key").select("key", "band", "id", "n", "size"), f"near-buckets-{depth}")
-        if depth == 0:
-            central = written(shared.groupBy("id").agg(F.sum("size").alias("central")), "near-central")
-        ranked = shared.join(central, "id")
-        leaders = ranked.groupBy("key").agg(F.max(F.struct("central", (-F.col("id")).alias("id"), "n")).alias("top"))
-        leaders = leaders.select("key", (-F.col("top.id")).alias("lead"), F.col("top.n").alias("lead_n"))
-        near = F.least("n", "lead_n") >= THRESHOLD * F.greatest("n", "lead_n")
-        led = shared.join(leaders, "key").where((F.col("id") != F.col("lead")) & near).select(*_pair("id", "lead"))
-        small = shared.where((F.col("size") <= SMALL) & (F.col("size") > 2)) if depth == 0 else shared.where(F.col("size").between(3, SMALL))
-        other = small.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"))
-        full = small.join(other, "key").where((F.col("id") < F.col("id2")) & (F.least("n", "n2") >= THRESHOLD * F.greatest("n", "n2"))).select(*_pair("id", "id2"))
-        found = led.unionByName(full)
-        pairs = found if pairs is None else pairs.unionByName(found)
-        large = shared.where(F.col("size") > SMALL)
-        if depth == 0:
-            first = large.select("key", "band", "id", "n")
-        if depth + 1 == DEPTH or large.isEmpty():
-            break
-        following = large.select("key", "band", "id", "n").join(texts.select("id", "keys"), "id")
-        next_key = F.element_at("keys", F.pmod(F.col("band") + depth + 1, F.lit(BANDS)).cast("int") + 1)
-        rows = following.select("id", "n", "band", F.xxhash64("key", next_key).alias("key"))
-    return pairs.distinct(), first
-
-
-def _rest(large: DataFrame, labels: DataFrame, texts: DataFrame, seqs: DataFrame) -> DataFrame:
-    """Links (a, b) between the classes in `labels` that meet in the buckets `large`."""
-    members = large.join(labels, "id", "left").select("key", "band", "id", "n", F.coalesce("label", "id").alias("label"))
-    members = written(members, "near-large")
-    sizes = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("kmers"))
-    keys = sizes.groupBy("key").agg(F.max(F.struct("size", "label", "kmers")).alias("top"), F.sum("size").alias("size"), F.sum("kmers").alias("kmers"))
-
-    def blocks(size, kmers):
-        return F.ceil(F.greatest(size / BLOCK_ROWS, kmers / BLOCK_KMERS)).cast("int")
-
-    keys = keys.where("size > top.size").select(
-        "key", F.col("top.label").alias("main"), blocks(F.col("size"), F.col("kmers")).alias("blocks"),
-        blocks(F.col("size") - F.col("top.size"), F.col("kmers") - F.col("top.kmers")).alias("rest_blocks"),
-    )
-    members = members.join(keys, "key")
-    columns = ["key", "band", "id", "label", "main"]
-    drawn = F.xxhash64("id")
-    rest = members.where("label <> main").select(*columns, F.lit(True).alias("rest"), F.pmod(drawn, "rest_blocks").cast("int").alias("i"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("j"))
+    order = {x: i for i, x in enumerate(sorted(set(ids)))}
+    rank = np.array([order[x] for x in ids])
+    r, c = np.flatnonzero(rest), np.flatnonzero(~rest)
+    links = []
+    if len(r) and len(c):
+        same = shared_counts([seqs[i] for i in r], [seqs[i] for i in c])
+        enough = THRESHOLD / (1 + THRESHOLD) * (n[r][:, None] + n[c][None, :]) - 1e-9
+        near = (same >= enough) & (linked[c][None, :] | (rank[c][None, :] > rank[r][:, None]))
+        for i, row in zip(r, near):
+            joined = False
+            for k in np.flatnonzero(row):
+                j = c[k]
+                if not (linked[j] and joined) and similarity(seqs[i], seqs[j]) > 0:
+                    links.append((ids[i], ids[j]))
+                    joined = joined or bool(linked[j])
+    return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
+
+
+def _in_blocks(led: DataFrame, seqs: DataFrame) -> DataFrame:
+    """Links (a, b) in the groups `led` (lead, id, n, linked) that linked texts leave out."""
+    one, loose = F.lit(1), (~F.col("linked")).cast("int")
+    sizes = led.groupBy("lead").agg(F.count(one).alias("size"), F.sum("n").alias("kmers"), F.sum(loose).alias("rest"), F.sum(F.col("n") * loose).alias("rest_kmers"))
+
+    def blocks(size: str, kmers: str):
+        return F.ceil(F.greatest(F.col(size) / BLOCK_TEXTS, F.col(kmers) / BLOCK_KMERS)).cast("int")
+
+    sizes = sizes.where("rest > 0 AND size > 1").select("lead", blocks("size", "kmers").alias("blocks"), blocks("rest", "rest_kmers").alias("rest_blocks"))
+    members = led.join(sizes, "lead")
+    columns, drawn = ["lead", "id", "linked"], F.xxhash64("id")
+    rest = members.where("NOT linked").select(*columns, F.lit(True).alias("rest"), F.pmod(drawn, "rest_blocks").cast("int").alias("i"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("j"))
     every = members.select(*columns, F.lit(False).alias("rest"), F.explode(F.expr("sequence(0, rest_blocks - 1)")).alias("i"), F.pmod(drawn, "blocks").cast("int").alias("j"))
-    rows = rest.unionByName(every).join(texts.select("id", "keys"), "id").join(seqs, "id")
-    return rows.groupBy("key", "i", "j").applyInArrow(_crossed, "a long, b long")
-
-
-def _only(rows: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
-    """Semi or anti join of `rows` with a table of ids, which is broadcast if small."""
-    ids = ids.select(F.col(ids.columns[0]).alias("_id"))
-    side = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
-    return rows.join(side, rows[column] == side["_id"], how)
+    rows = rest.unionByName(every).join(seqs.select(F.col("body").alias("id"), "seq"), "id")
+    return rows.groupBy("lead", "i", "j").applyInArrow(_crossed, "a binary, b binary")
+
+
+def _both(rows: DataFrame, seqs: DataFrame, a: str, b: str) -> DataFrame:
+    """`rows` and the sequences x, y of its texts in columns `a` and `b`."""
+    x = seqs.select(F.col("body").alias(a), F.col("seq").alias("x"))
+    y = seqs.select(F.col("body").alias(b), F.col("seq").alias("y"))
+    return rows.join(x, a).join(y, b)
+
+
+def _links(texts: DataFrame, sequences, small: int = SMALL) -> DataFrame:
+    """Links (a, b) between the texts (id, n, keys). `sequences` gives the table (body, seq)
+    for a table of ids."""
+    rows = texts.select("id", "n", F.explode("keys").alias("key"))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = rows.join(sizes, "key")
+    # a text's buckets once more in one row, as its centrality is a sum over them
+    central = shared.groupBy("id").agg(F.first("n").alias("n"), F.sum("size").alias("central"), F.collect_list(F.struct("key", "size")).alias("at"))
+    central = written(central, "near-buckets")
+    seqs = written(sequences(central.select("id")), "near-sequences")
+    rows = central.select("id", "n", "central", F.explode("at").alias("at")).select("at.key", "at.size", "id", "n", "central")
+
+    full = rows.where(F.col("size") <= small).select("key", "id", "n")
+    other = full.select("key", F.col("id").alias("b"), F.col("n").alias("n2"))
+    near = (F.col("id") < F.col("b")) & (F.least("n", "n2") >= THRESHOLD * F.greatest("n", "n2"))
+    pairs = full.join(other, "key").where(near).select(F.col("id").alias("a"), "b").distinct()
+    links = _both(pairs, seqs, "a", "b").select("a", "b", "x", "y").mapInArrow(_verified, "a binary, b binary")
+
+    large = rows.where(F.col("size") > small)
+    leaders = large.groupBy("key").agg(F.max(F.struct("central", "id")).alias("top")).select("key", F.col("top.id").alias("lead"))
+    stars = large.join(leaders, "key").where("id <> lead").groupBy("lead", "id").agg(F.first("n").alias("n"))
+    led = _both(stars, seqs, "id", "lead").select("lead", "id", "n", "x", "y").mapInArrow(_led, "lead binary, id binary, n int, linked boolean")
+    led = written(led, "near-leaders")
+    links = links.unionByName(led.where("linked").select(F.col("lead").alias("a"), F.col("id").alias("b")))
+    return links.unionByName(_in_blocks(led, seqs))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -309,38 +346,42 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _classed(docs: DataFrame, id_col: str, text_col: str, small: int) -> tuple[DataFrame, DataFrame]:
+    """The documents' sketches (id, body, ...) and the table (body, class_id) of the texts
+    that have copies or links."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), mark(F.col(text_col)).alias("mark"))
+    sketches = written(rows.mapInArrow(_sketched, "id long, mark long, body binary, n int, keys array<long>"), "near-sketches")
+    texts = sketches.where("n > 0").groupBy("body").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    texts = written(texts, "near-texts")
+    bodies = texts.select("body", "first", "copies")
+
+    def sequences(needed: DataFrame) -> DataFrame:
+        """(body, seq) of the texts that stand in buckets, from the row that is their first."""
+        needed = bodies.join(needed.select(F.col("id").alias("body")), "body", "left_semi")
+        one = written(needed.where("first IS NOT NULL").select("first").distinct(), "near-needed")
+        found = rows.join(small_side(one), rows["id"] == one["first"], "left_semi").unionByName(rows.where("id IS NULL")).where("text IS NOT NULL").select("text")
+        return found.mapInArrow(_sequences, "body binary, seq binary").dropDuplicates(["body"])
+
+    labels = components(_links(texts.select(F.col("body").alias("id"), "n", "keys"), sequences, small))
+    linked = bodies.join(labels, bodies["body"] == labels["id"]).select("body", "first", "label")
+    owners = linked.groupBy("label").agg(F.min("first").alias("class_id"))
+    linked = labels.select(F.col("id").alias("body"), "label").join(owners, "label").select("body", "class_id")
+    copied = bodies.where("copies > 1").select("body", F.col("first").alias("class_id")).join(linked.select("body"), "body", "left_anti")
+    return sketches, written(linked.unionByName(copied), "near-classes")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL) -> DataFrame:
     """One row per document: doc_id, class_id, kept (the class's first document)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketches = written(rows.where(F.col("id").isNotNull()).mapInArrow(_sketched, "id long, body binary, n int, keys array<long>"), "near-sketches")
-    bodies = sketches.where("n > 0").groupBy("body").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    bodies = written(bodies, "near-bodies")
-    texts = sketches.join(bodies.select(F.col("body").alias("body1"), "first"), (F.col("id") == F.col("first")) & (F.col("body") == F.col("body1"))).select("id", "n", "keys")
-    texts = written(texts.dropDuplicates(["id"]), "near-texts")
-    pairs, large = _candidates(texts)
-    pairs = written(pairs, "near-pairs")
-    needed = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(large.select(F.col("id").alias("a"))).distinct()
-    seqs = _only(rows.where(F.col("id").isNotNull()), written(needed, "near-needed"), "id", "left_semi").mapInArrow(_sequences, "id long, seq binary")
-    seqs = written(seqs.dropDuplicates(["id"]), "near-sequences")
-    left = seqs.select(F.col("id").alias("a"), F.col("seq").alias("x"))
-    right = seqs.select(F.col("id").alias("b"), F.col("seq").alias("y"))
-    links = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
-    labels = components(links)
-    merged = components(_rest(large, labels, texts, seqs)).select(F.col("id").alias("part"), F.col("label").alias("whole"))
-    changed = (
-        bodies.join(labels, bodies["first"] == labels["id"], "left")
-        .select("body", "copies", "first", F.coalesce("label", "first").alias("part"))
-        .join(merged, "part", "left")
-        .select("body", "copies", "first", F.coalesce("whole", "part").alias("class_id"))
-        .where("copies > 1 OR class_id <> first").select("body", "class_id")
-    )
-    found = sketches.select("id", "body").join(changed, "body", "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"))
-    found = found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
-    without = rows.where(F.col("id").isNull()).select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(True).alias("kept"))
-    return found.unionByName(without)
+    sketches, changed = _classed(docs, id_col, text_col, small)
+    own = changed.withColumn("_hit", F.lit(True))
+    found = sketches.select("id", "body").join(own, "body", "left")
+    class_id = F.when(F.col("_hit"), F.col("class_id")).otherwise(F.col("id"))
+    found = found.select(F.col("id").alias("doc_id"), class_id.alias("class_id"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, that are the first of their class."""
-    dropped = written(classes(docs, id_col, text_col).where(~F.col("kept")).select("doc_id"), "near-dropped")
-    return _only(docs, dropped, id_col, "left_anti")
+    sketches, changed = _classed(docs, id_col, text_col, SMALL)
+    gone = sketches.select("id", "mark", "body").join(changed, "body").where(~F.col("id").eqNullSafe(F.col("class_id")))
+    return without_rows(docs, written(gone.select("id", "mark").distinct(), "near-dropped"), id_col, text_col)

@@ -147,8 +147,18 @@ def test_top_k_against_brute_force(spark):
     assert vector_search.top_k(df.where("false"), df, 5).count() == 0
 
 
+def _longest_common(x, y):
+    """Longest common subsequence, by its textbook table."""
+    row = np.zeros(len(y) + 1, int)
+    for s in x:
+        row = np.maximum.accumulate(np.r_[0, np.maximum(row[1:], np.where(y == s, row[:-1] + 1, 0))])
+    return int(row[-1])
+
+
 def _classes(texts):
-    sets = {i: set(near_dedup.labelled(near_dedup.kmers(near_dedup.word_hashes(near_dedup.words(t)))).tolist()) for i, t in texts}
+    """Classes by a comparison of all pairs: k-mers aligned in order."""
+    seqs = {i: near_dedup.kmers(near_dedup.word_hashes(near_dedup.words(t))) for i, t in texts}
+    sets = {i: set(near_dedup.labelled(x).tolist()) for i, x in seqs.items()}
     owner = {i: i for i, _ in texts}
 
     def root(i):
@@ -159,9 +169,12 @@ def _classes(texts):
     ids = sorted(owner)
     for i in ids:
         for j in ids:
-            if j < i and sets[i] and sets[j]:
-                same = len(sets[i] & sets[j])
-                if same / (len(sets[i]) + len(sets[j]) - same) >= 0.8:
+            if j < i and sets[i] and sets[j] and root(i) != root(j):
+                total = len(sets[i]) + len(sets[j])
+                if len(sets[i] & sets[j]) < total * 4 / 9 - 1e-9:
+                    continue
+                same = _longest_common(seqs[i], seqs[j])
+                if same / (total - same) >= 0.8 - 1e-12:
                     a, b = root(i), root(j)
                     owner[max(a, b)] = min(a, b)
     return {i: root(i) for i in ids}
@@ -207,16 +220,42 @@ def test_near_dedup_hot_group_of_chains(spark):
     assert got == _classes(texts)
 
 
+def test_near_dedup_keeps_texts_of_repeated_and_null_ids(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(1, one), (5, one), (5, two), (None, one), (None, three), (9, three + " end"), (7, None), (7, "..."), (None, "..")]
+    docs = documents(spark, rows)
+    got = sorted(((r.doc_id, r.text) for r in near_dedup.one_of_each(docs).collect()), key=repr)
+    assert got == sorted([(1, one), (5, two), (9, three + " end"), (7, None), (7, "..."), (None, "..")], key=repr)
+    classes = sorted(((r.doc_id, r.class_id, r.kept) for r in near_dedup.classes(docs).collect()), key=repr)
+    assert classes == sorted([(1, 1, True), (5, 1, False), (5, 5, True), (None, 1, False), (None, 9, False), (9, 9, True), (7, 7, True), (7, 7, True), (None, None, True)], key=repr)
+
+
+def test_near_dedup_of_buckets_of_any_size_agree(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = [{r.doc_id: r.class_id for r in near_dedup.classes(docs, small=small).collect()} for small in (1, 10_000)]
+    assert got[0] == got[1]
+
+
 def test_alignment_is_a_banded_lcs():
     rng = random.Random(2)
-    for _ in range(200):
+    for _ in range(300):
         x = np.array([rng.randrange(6) for _ in range(rng.randint(1, 30))], "u8")
         y = np.array([rng.randrange(6) for _ in range(rng.randint(1, 30))], "u8")
-        best = np.zeros((len(x) + 1, len(y) + 1), int)
-        for i in range(len(x)):
-            for j in range(len(y)):
-                best[i + 1, j + 1] = best[i, j] + 1 if x[i] == y[j] else max(best[i, j + 1], best[i + 1, j])
-        assert near_dedup._aligned(x, y, 64) == best[-1, -1]
+        for reach in (rng.randint(0, 8), 64):
+            best = np.zeros((len(x) + 1, len(y) + 1), int)
+            for i in range(len(x)):
+                for j in range(len(y)):
+                    match = x[i] == y[j] and abs(i - j) <= reach
+                    best[i + 1, j + 1] = max(best[i, j + 1], best[i + 1, j], best[i, j] + 1 if match else 0)
+            assert near_dedup._aligned(x, y, reach) == best[-1, -1]
+
+
+def test_shared_kmers_are_counted_for_all_pairs(monkeypatch):
+    monkeypatch.setattr(near_dedup, "COUNTED", 7)
+    rng = np.random.default_rng(6)
+    left, right = ([rng.integers(0, 60, rng.integers(1, 50)).astype("u8") for _ in range(n)] for n in (5, 8))
+    got = near_dedup.shared_counts(left, right)
+    assert got.tolist() == [[len(set(near_dedup.labelled(x).tolist()) & set(near_dedup.labelled(y).tolist())) for y in right] for x in left]
 
 
 def test_token_blocks_round_trip():
