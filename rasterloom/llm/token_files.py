@@ -5,14 +5,14 @@ of ids; a task encodes texts, the ids travel once to their range, and each range
 part of the output. Counts of all ids give one frequency table, shared by all blocks. A
 block holds whole documents and is coded with many interleaved lanes (numpy works on
 all lanes at once), 64-bit states and 32-bit words; it carries the states and stream
-position at checkpoints, so that a reader can start inside it, and CRC-32 checksums of
-its ids. Blocks are rows of a Parquet table, written by Spark's committer: a lost
+position at checkpoints, so that a reader can start inside it, and CRC-32 checksums of its
+head and of the ids from each checkpoint to the next. Blocks are rows of a Parquet table, written by Spark's committer: a lost
 executor's attempt leaves nothing behind. `read_tokens` decodes blocks in parallel.
 
 Layout of a block (little-endian): magic ``RNS1``; u32 lanes, documents, checkpoints,
-words; u64 tokens; u32 CRC-32 of all ids; i64 ids and u32 lengths of documents; u64
-states before the first step; per checkpoint u32 step, u32 word position and u64 states;
-u32 words.
+words; u64 tokens; u32 CRC-32 of the rest of the head; i64 ids and u32 lengths of documents;
+per checkpoint (the first is the start) u32 step, u32 word position, u32 CRC-32 of its ids
+and u64 states; u32 words.
 
 Defined results: null text is an empty document, which holds only the end id; rows with
 a null id take no part; repeated ids follow one another; an empty table gives an empty
@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ MAGIC = b"RNS1"
 BLOCK_TOKENS = 1 << 20
 MAX_LANES = 4096
 CHECKPOINT_STEPS = 128
+#: Texts that are encoded at a time.
+TEXTS = 2048
 
 
 # ---------------------------------------------------------------- frequency table
@@ -96,42 +99,48 @@ def encode_block(doc_ids: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, t
         if step and step % CHECKPOINT_STEPS == 0:
             marks.append((step, written_words, state.copy()))
     words = np.concatenate(chunks[::-1]) if chunks else np.zeros(0, "u4")
-    head = np.array([lanes, len(doc_ids), len(marks), len(words)], "<u4").tobytes() + np.array([n], "<u8").tobytes()
-    head += np.array([zlib.crc32(tokens.astype("<u4").tobytes())], "<u4").tobytes()
-    body = [MAGIC, head, doc_ids.astype("<i8").tobytes(), lengths.astype("<u4").tobytes(), state.astype("<u8").tobytes()]
-    for step, from_end, states in marks[::-1]:
-        body += [np.array([step, len(words) - from_end], "<u4").tobytes(), states.astype("<u8").tobytes()]
-    return b"".join([*body, words.astype("<u4").tobytes()])
+    marks.append((0, len(words), state))
+    marks = marks[::-1]
+    places = [m[0] * lanes for m in marks] + [n]
+    raw = memoryview(tokens.astype("<u4").tobytes())
+    head = [doc_ids.astype("<i8").tobytes(), lengths.astype("<u4").tobytes()]
+    for (step, from_end, states), a, b in zip(marks, places, places[1:]):
+        head += [np.array([step, len(words) - from_end, zlib.crc32(raw[4 * a : 4 * b])], "<u4").tobytes(), states.astype("<u8").tobytes()]
+    head = b"".join(head)
+    sizes = np.array([lanes, len(doc_ids), len(marks), len(words)], "<u4").tobytes() + np.array([n], "<u8").tobytes()
+    check = np.array([zlib.crc32(head, zlib.crc32(sizes))], "<u4").tobytes()
+    return b"".join([MAGIC, sizes, check, head, words.astype("<u4").tobytes()])
 
 
 class Block:
-    """A block that was read; `tokens()` decodes it, or its part from a checkpoint on."""
+    """A block that was read; `segment(i)` decodes its ids from a checkpoint to the next,
+    `tokens()` all of them. Either checks what it has decoded."""
 
     def __init__(self, data: bytes) -> None:
         if data[:4] != MAGIC:
             raise ValueError("not a block of token ids")
         self.lanes, docs, marks, words = (int(x) for x in np.frombuffer(data, "<u4", 4, 4))
         self.n = int(np.frombuffer(data, "<u8", 1, 20)[0])
-        self.crc = int(np.frombuffer(data, "<u4", 1, 28)[0])
-        at = 32
+        at, end = 32, 32 + 12 * docs + marks * (12 + 8 * self.lanes)
+        if zlib.crc32(data[32:end], zlib.crc32(data[4:28])) != int(np.frombuffer(data, "<u4", 1, 28)[0]):
+            raise ValueError("a block's checksum does not match its head")
         self.doc_ids = np.frombuffer(data, "<i8", docs, at)
         at += 8 * docs
         self.lengths = np.frombuffer(data, "<u4", docs, at)
         at += 4 * docs
-        self.marks = [(0, 0, np.frombuffer(data, "<u8", self.lanes, at))]
-        at += 8 * self.lanes
+        self.marks = []
         for _ in range(marks):
-            step, position = np.frombuffer(data, "<u4", 2, at)
-            self.marks.append((int(step), int(position), np.frombuffer(data, "<u8", self.lanes, at + 8)))
-            at += 8 + 8 * self.lanes
+            step, position, crc = (int(x) for x in np.frombuffer(data, "<u4", 3, at))
+            self.marks.append((step, position, crc, np.frombuffer(data, "<u8", self.lanes, at + 12)))
+            at += 12 + 8 * self.lanes
         self.words = np.frombuffer(data, "<u4", words, at)
 
-    def tokens(self, table: Table, mark: int = 0) -> np.ndarray:
-        step, position, state = self.marks[mark]
+    def segment(self, mark: int, table: Table) -> np.ndarray:
+        step, position, crc, state = self.marks[mark]
+        steps = self.marks[mark + 1][0] if mark + 1 < len(self.marks) else -(-self.n // self.lanes)
         state = state.copy()
         mask, bits, half = np.uint64((1 << SCALE_BITS) - 1), np.uint64(SCALE_BITS), np.uint64(32)
-        out = np.empty(self.n - min(self.n, step * self.lanes), "u4")
-        steps, done = -(-self.n // self.lanes), 0
+        out, done = np.empty(max(0, min(self.n, steps * self.lanes) - step * self.lanes), "<u4"), 0
         for s in range(step, steps):
             m = min(self.lanes, self.n - s * self.lanes)
             x = state[:m]
@@ -145,13 +154,19 @@ class Block:
             state[:m] = x
             out[done : done + m] = symbol
             done += m
-        if mark == 0 and zlib.crc32(out.astype("<u4").tobytes()) != self.crc:
-            raise ValueError("a block's checksum does not match its ids")
+        if zlib.crc32(out.tobytes()) != crc:
+            raise ValueError("a segment's checksum does not match its ids")
         return out
 
+    def tokens(self, table: Table) -> np.ndarray:
+        return np.concatenate([self.segment(i, table) for i in range(len(self.marks))])
+
 
 # ---------------------------------------------------------------- tokenizer
 
+#: Makes, in a task, the function from texts (no nulls) to all their ids and their lengths.
+Encoder = Callable[[], Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]]
+
 
 class PieceEncoder:
     """Ids of whole texts from a byte-level BPE of the tokenizers library.
@@ -160,13 +175,14 @@ class PieceEncoder:
     so a text's pieces between spaces are encoded once and kept in a bounded memo. Texts
     in which a space touches other white space on both sides go to the library whole, as
     do texts that hold an added token, unless `added` is off and these are ordinary text.
+    Pieces are cut and numbered by Arrow for many texts at once; Python sees each distinct
+    piece of a batch once.
     """
 
-    LIMIT = 1_800_000  # of about 170 bytes each
+    LIMIT = 1_500_000  # of about 200 bytes each
 
     def __init__(self, path: str, added: bool = False) -> None:
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -179,47 +195,106 @@ class PieceEncoder:
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.starts = np.zeros(max(vocab.values()) + 1, bool)
         self.starts[[i for s, i in vocab.items() if s.startswith("Ġ")]] = True
-        self.unsafe = re.compile(r"\s (?!\S)")
-        # a space after white space: only texts that have one can be unsafe
-        self.gaps = [c + " " for c in map(chr, range(0x3001)) if c.isspace()]
-        self.memo: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        # marks that the pre-tokenizer cuts off the letters before them
+        self.marks = {m: int(self._ids([m])[0][0]) for m in ",.;:!?"}
+        self.clear()
+
+    def clear(self) -> None:
+        self.memo: dict[str, int] = {}  # piece after a space -> its place in the store
+        self.firsts: dict[str, int] = {}  # piece at a text's start
+        self.flat, self.used = np.zeros(1 << 16, "u4"), 0
+        self.begin, self.size = np.zeros(1 << 14, "i8"), np.zeros(1 << 14, "i8")
+        self.blank = np.zeros((1 << 14, 2), bool)  # white space or nothing at the piece's start, end
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _store(self, memo: dict[str, int], pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        at, end = len(self.memo) + len(self.firsts), self.used + len(ids)
+        while end > len(self.flat):
+            self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
+        while at + len(pieces) > len(self.begin):
+            self.begin, self.size, self.blank = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.size, self.blank))
+        self.flat[self.used : end] = ids
+        self.size[at : at + len(pieces)] = sizes
+        self.begin[at : at + len(pieces)] = self.used + np.cumsum(sizes) - sizes
+        nothing = memo is not self.firsts
+        self.blank[at : at + len(pieces), 0] = [p[0].isspace() if p else nothing for p in pieces]
+        self.blank[at : at + len(pieces), 1] = [p[-1].isspace() if p else nothing for p in pieces]
+        memo.update(zip(pieces, range(at, at + len(pieces))))
+        self.used = end
+
+    def _store_list(self, memo: dict[str, int], pieces: list[str], ids: list[np.ndarray]) -> None:
+        if pieces:
+            self._store(memo, pieces, np.concatenate(ids), np.array([len(x) for x in ids]))
 
     def _learn(self, pieces: list[str]) -> None:
-        """Encodes pieces, each with the space before it."""
-        plain = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace()]
+        """Encodes new pieces, each with the space before it."""
+        marks, memo = self.marks, self.memo
+        marked = {p: p[:-1] for p in pieces if p[-1:] in marks and p[:-1].isalpha()}
+        stems = {x for x in marked.values() if x not in memo}
+        new = [*(p for p in pieces if p not in marked and p not in stems), *stems]
+        plain = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
         for at in range(0, len(plain), 256):
             part = plain[at : at + 256]
-            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = self._ids([" " + " ".join(part)])[0]
             cuts = np.flatnonzero(self.starts[ids])
             if len(cuts) == len(part):
-                raw, cuts = ids.tobytes(), [*(cuts * 4).tolist(), 4 * len(ids)]
-                self.memo.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+                self._store(self.memo, part, ids, np.diff(np.r_[cuts, len(ids)]))
             else:
-                self.memo.update(zip(part, self._ids([" " + p for p in part])))
-        odd = [p for p in pieces if p not in self.memo] if len(plain) < len(pieces) else []
-        if odd:
-            self.memo.update(zip(odd, self._ids([" " + p for p in odd])))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if any(a in t for a in self.added) or any(g in t for g in self.gaps) and self.unsafe.search(t)]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
-            out[i] = ids
-        pieces = {i: texts[i].split(" ") for i, ids in enumerate(out) if ids is None}
-        firsts = dict(zip(pieces, self._ids([p[0] for p in pieces.values()])))
-        if len(self.memo) > self.LIMIT:
-            self.memo.clear()
-        memo = self.memo
-        missing = [p for p in set().union(*pieces.values()) if p not in memo]
-        if missing:
-            self._learn(missing)
-        get = memo.__getitem__
-        for i, ps in pieces.items():
-            out[i] = firsts[i] + b"".join(map(get, ps[1:]))
-        return out
+                self._store_list(self.memo, part, self._ids([" " + p for p in part]))
+        odd = [p for p in new if not p or p[0].isspace() or p[-1].isspace()]
+        self._store_list(self.memo, odd, self._ids([" " + p for p in odd]))
+        if marked:
+            ids, size = self._gathered(np.array([memo[x] for x in marked.values()]))
+            ids = np.insert(ids, np.cumsum(size), [marks[p[-1]] for p in marked])
+            self._store(memo, list(marked), ids, size + 1)
+
+    def _gathered(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids at these places of the store, one after the other, and their numbers."""
+        size = self.size[places]
+        return self.flat[np.repeat(self.begin[places] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))], size
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after the other, and how many each text has."""
+        if len(self.memo) + len(self.firsts) > self.LIMIT:
+            self.clear()
+        cut = pc.split_pattern(texts, " ")
+        first = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
+        coded = cut.flatten().dictionary_encode()
+        number, pieces = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False)
+        inner = np.ones(len(number), bool)
+        inner[first] = False
+        needed = np.zeros(len(pieces), bool)
+        needed[number[inner]] = True
+        heads = pieces[number[first]].tolist()
+        new = [h for h in dict.fromkeys(heads) if h not in self.firsts]
+        self._store_list(self.firsts, new, self._ids(new))
+        followers = pieces[needed].tolist()
+        found = list(map(self.memo.get, followers))
+        if None in found:
+            self._learn([p for p, at in zip(followers, found) if at is None])
+            found = list(map(self.memo.get, followers))
+        places = np.zeros(len(pieces), "i8")
+        places[needed] = found
+        place = places[number]
+        place[first] = [self.firsts[h] for h in heads]
+        ids, size = self._gathered(place)
+        lengths = np.add.reduceat(size, first) if len(first) else np.zeros(0, "i8")
+
+        # a space between white space, or between white space and the end
+        unsafe = np.zeros(len(number), bool)
+        unsafe[1:] = self.blank[place[:-1], 1] & self.blank[place[1:], 0] & inner[1:]
+        whole = np.logical_or.reduceat(unsafe, first) if len(first) else np.zeros(0, bool)
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if whole.any():
+            parts = np.split(ids, np.cumsum(lengths)[:-1])
+            at = np.flatnonzero(whole)
+            for i, x in zip(at.tolist(), self._ids([texts[i].as_py() for i in at.tolist()])):
+                parts[i] = x
+            ids, lengths = np.concatenate(parts), np.array([len(x) for x in parts], "i8")
+        return ids, lengths
 
 
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
@@ -232,7 +307,7 @@ def encoder_of(path: str, added: bool = False) -> PieceEncoder:
     return _encoders[path, added]
 
 
-def tokenizer_encoder(path: str, added: bool = False) -> Callable[[], Callable[[list[str]], list[bytes]]]:
+def tokenizer_encoder(path: str, added: bool = False) -> Encoder:
     """`added`: the file's added tokens become their ids, as the library does by default."""
     return lambda: encoder_of(path, added).encode
 
@@ -241,13 +316,17 @@ def tokenizer_encoder(path: str, added: bool = False) -> Callable[[], Callable[[
 
 
 def _range_ends(docs: DataFrame, id_col: str, parts: int) -> list[int]:
-    ids = docs.select(F.col(id_col).cast("double").alias("id"))
-    return sorted({int(x) for x in ids.approxQuantile("id", [i / parts for i in range(1, parts)], 0.002)}) if parts > 1 else []
+    """Ids that cut the documents into ranges of about equal size."""
+    ids = docs.select(F.col(id_col).cast("long").alias("id"))
+    if parts < 2:
+        return []
+    found = ids.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
+    return sorted(set(found or []))
 
 
 def write_tokens(
     docs: DataFrame,
-    make_encoder: Callable[[], Callable[[list[str]], list[bytes]]],
+    make_encoder: Encoder,
     path: str,
     vocab_size: int,
     end_id: int = 0,
@@ -258,7 +337,6 @@ def write_tokens(
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ends = _range_ends(docs, id_col, parts)
-    end = np.array([end_id], "<u4").tobytes()
     width = "<u2" if vocab_size <= 1 << 16 else "<u4"
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,20 +344,20 @@ def write_tokens(
         encode, pack = make_encoder(), zstandard.ZstdCompressor(level=1)
         total = np.zeros(vocab_size, "i8")
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                one = batch.slice(at, 512)
-                texts = ["" if t is None else t for t in one.column(1).to_pylist()]
-                coded = [np.frombuffer(b + end, "<u4") for b in encode(texts)]
-                total += np.bincount(np.concatenate(coded), minlength=vocab_size)
-                planes = [pack.compress(t.astype(width).tobytes()) for t in coded]
+            for at in range(0, batch.num_rows, TEXTS):
+                one = batch.slice(at, TEXTS)
+                found, n = encode(one.column(1).fill_null(""))
+                found, n = np.insert(found, np.cumsum(n), end_id).astype(width), n + 1
+                total += np.bincount(found, minlength=vocab_size)
+                planes = [pack.compress(x.tobytes()) for x in np.split(found, np.cumsum(n)[:-1])]
                 yield pa.RecordBatch.from_arrays(
-                    [one.column(0), pa.array([len(t) for t in coded], pa.int64()), pa.array(planes, pa.binary())], ["id", "n", "ids"]
+                    [one.column(0), pa.array(np.searchsorted(ends, one.column(0).to_numpy()).astype("i4")), pa.array(n), pa.array(planes, pa.binary())], ["id", "part", "n", "ids"]
                 )
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([pack.compress(total.tobytes())], pa.binary())], ["id", "n", "ids"])
+        last = [pa.array([None], pa.int64()), pa.array([None], pa.int32()), pa.array([-1], pa.int64()), pa.array([pack.compress(total.tobytes())], pa.binary())]
+        yield pa.RecordBatch.from_arrays(last, ["id", "part", "n", "ids"])
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    part = F.expr(f"aggregate(array({', '.join(f'{x}L' for x in ends)}), 0, (a, x) -> a + int(id > x))") if ends else F.lit(0)
-    stored = written(rows.mapInArrow(ids, "id long, n long, ids binary"), "token-ids")
+    stored = written(rows.mapInArrow(ids, "id long, part int, n long, ids binary"), "token-ids")
 
     def unpacked(pack: zstandard.ZstdDecompressor, n: int, data: bytes) -> np.ndarray:
         return np.frombuffer(pack.decompress(data, max_output_size=4 * n), width).astype("u4")
@@ -324,7 +402,7 @@ def write_tokens(
         if held:
             yield out()
 
-    dealt = stored.where("n > 0").withColumn("part", part.cast("int")).repartition(max(1, len(ends) + 1), "part").sortWithinPartitions("part", "id", "ids")
+    dealt = stored.where("n > 0").select("id", "n", "ids", "part").repartition(max(1, len(ends) + 1), "part").sortWithinPartitions("part", "id", "ids")
     dealt.mapInArrow(blocks, "part int, block long, n_tokens long, first_id long, last_id long, payload binary").write.parquet(f"{path}/blocks")
 
 

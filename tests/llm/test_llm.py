@@ -269,15 +269,17 @@ def test_token_blocks_round_trip():
         data = token_files.encode_block(np.array([7]), np.array([n]), tokens, table)
         block = token_files.Block(data)
         assert (block.tokens(table) == tokens).all()
-        for i, (step, _, _) in enumerate(block.marks):
-            assert (block.tokens(table, i) == tokens[step * block.lanes :]).all()
-    broken = bytearray(data)
-    broken[-1] ^= 1
-    with pytest.raises((ValueError, IndexError)):
-        token_files.Block(bytes(broken)).tokens(table)
+        ends = [m[0] * block.lanes for m in block.marks[1:]] + [n]
+        for i, end in enumerate(ends):  # in any order, each from its own checkpoint
+            assert (block.segment(i, table) == tokens[block.marks[i][0] * block.lanes : end]).all()
+    for at in (-1, 5, 33, 41, len(data) // 2):
+        broken = bytearray(data)
+        broken[at] ^= 1
+        with pytest.raises((ValueError, IndexError)):
+            token_files.Block(bytes(broken)).tokens(table)
 
 
-SPACED = ["", " ", "  ", "a  b\n \n c", "\n x", "x \n", "foo \nbar  baz\n \n", " lead", "y\x1cz\x85q  ", "don't we'll 12345 <|endoftext|>", "a" * 3000, "é😀 漢字", "ab  cd"]
+SPACED = ["x, y. z! é, 1. a", ", . ;", "Hi. Hi.", "", " ", "  ", "a  b\n \n c", "\n x", "x \n", "foo \nbar  baz\n \n", " lead", "y\x1cz\x85q  ", "don't we'll 12345 <|endoftext|>", "a" * 3000, "é😀 漢字", "ab  cd"]
 
 
 def test_token_files_hold_the_library_ids(spark):
@@ -285,10 +287,12 @@ def test_token_files_hold_the_library_ids(spark):
 
     path = queries._vocabulary("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    rows = [(100 - i, t) for i, t in enumerate(SPACED)] + [(3, None)]
+    rng = random.Random(12)
+    bits = [" ", "  ", "\n", "\t", "a", "bc,", "d.", "é", "'s", " ", "\u3000", "1", "x!", "<|endoftext|>"]
+    spaced = [*SPACED, *("".join(rng.choice(bits) for _ in range(rng.randint(0, 9))) for _ in range(2000))]
+    rows = [(10_000 - i, t) for i, t in enumerate(spaced)] + [(3, None)]
     at = token_files.new_path(spark)
-    token_files.write_tokens(documents(spark, rows), token_files.tokenizer_encoder(path), at, 50257)
+    token_files.write_tokens(documents(spark, rows), token_files.tokenizer_encoder(path, added=True), at, 50257)
     got, start = token_files.read_tokens(spark, at).orderBy("doc_id").collect(), 0
     for r, (doc_id, text) in zip(got, sorted(rows), strict=True):
         ids = tok.encode(text or "", add_special_tokens=False).ids + [0]
