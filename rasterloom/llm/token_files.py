@@ -41,7 +41,7 @@ BLOCK_TOKENS = 1 << 20
 MAX_LANES = 4096
 CHECKPOINT_STEPS = 128
 #: Texts that are encoded at a time.
-TEXTS = 2048
+TEXTS = 1024
 
 
 # ---------------------------------------------------------------- frequency table
@@ -179,7 +179,7 @@ class PieceEncoder:
     piece of a batch once.
     """
 
-    LIMIT = 1_500_000  # of about 200 bytes each
+    LIMIT = 700_000  # of about 250 bytes each
 
     def __init__(self, path: str, added: bool = False) -> None:
         import os
