@@ -1,21 +1,25 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on toxic text (windows
-that are typical of toxic documents, and the ordinary text that stands around them). A
-window of a text, one word in a fixed frame, is compressed with either; the bytes that
-the toxic dictionary saves are the window's distance. The frame is in both dictionaries,
-so that its cost cancels. A window is a hit if it saves enough bytes; the distinct hits
-at each of four margins and their rates give a document's score by a logistic curve,
-which is calibrated on training documents that the dictionaries were not trained on
-(a third of fold 3); the final dictionaries are then trained on all training documents.
-
-Training reads at most about `FIT_ROWS` labelled documents of each class (chosen by a
-hash), the bound on the labels that are broadcast and on the features that reach the
-driver. Scoring reads every window of every whole text.
-
-Defined results: null and empty texts have no window and get the score of no hits;
-a repeated word of a text is one hit; with labels of one class only, the score is
-that class's rate; other columns are not read.
+Two zstandard dictionaries are trained on windows of running text: one on ordinary text,
+one on those passages of toxic text that the ordinary text can't account for (substrings
+of `GRAM` bytes and more that are frequent in toxic windows far beyond chance). Windows of
+`WINDOW` words overlap by half. A window is compressed with the ordinary dictionary and with both; the bytes that the
+toxic one saves are the window's distance. A document's score comes from the bytes saved by
+windows over each of the `MARGINS`, as a sum and relative to the text's length, by a
+logistic curve that is calibrated on training documents that its dictionaries were not
+trained on (fold 3); the final dictionaries are then trained on all training documents.
+
+Fitting reads a sample of labelled rows: about `FIT_ROWS` documents of each class, and of
+their distinct windows about `FIT_WINDOWS` by class, all chosen by a hash (windows of more
+than `LONGEST` bytes, as of one very long word, do not train). These bound the labels
+that are broadcast and the text that reaches the driver. Copies of a text give the same
+windows, which count once. Scoring reads every window of every whole text.
+
+Defined results: null and empty texts have no window and get the score of no savings; an id
+with several labels is toxic if one of them says so; the curve is drawn to `PRIOR`, which
+few calibration rows hardly change, and is `PRIOR` itself without any; dictionaries with
+too little text to train on are the text itself, cut at their size; with labels of one class
+only, the score is 0.98 or 0.02; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,30 +36,36 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-FIT_ROWS = 12_000
-TOXIC_WINDOWS, ORDINARY_WINDOWS = 1024, 20_000
-TOXIC_BYTES, ORDINARY_BYTES = 4096, 112_640
-#: A word is typical of toxic documents from this z-score, number of contexts and ratio on.
-MIN_Z, MIN_CONTEXTS, MIN_LIFT = 6.0, 3, 3.0
-#: Bytes saved from which on a window is a hit, one measure each.
-MARGINS = (2, 3, 4, 5)
-#: Weights that calibration starts from and is drawn to: a hit speaks for toxicity.
-PRIOR = np.array([-3.0, 0.5, 0.0, 1.0, 0.0, 1.0, 0.0, 0.5, 0.0])
-LEFT, RIGHT = b"\n<left frame of the window>", b"<right frame of the window>\n"
+FIT_ROWS, LONGEST = 12_000, 512
+FIT_WINDOWS = {0: 250_000, 1: 100_000}
+#: Words of a window, and from the start of one to that of the next.
+WINDOW, STEP = 6, 3
+GRAM, TOXIC_BYTES, ORDINARY_BYTES = 6, 4096, 32_768
+#: A substring is typical of toxic text from this z-score and ratio of rates on.
+MIN_Z, MIN_LIFT = 7.0, 3.0
+#: Bytes saved from which on a window counts, one measure each.
+MARGINS = (2, 3, 4)
+#: Weights that calibration starts from and is drawn to: constant; sum by root of length
+#: and logarithm of the sum for each margin; all savings by root of length.
+PRIOR = np.array([-3.5, 0.0, 0.0, 0.3, 0.3, 0.6, 0.6, 0.3])
 
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def windows(text: str | None) -> list[str]:
-    """Windows of a text: its words, in lower case."""
-    return WORD.findall(text.lower()) if text else []
+def windows(text: str | None) -> list[bytes]:
+    """Windows of a text: its words in lower case, `WINDOW` at a time, overlapping; every
+    word stands in one, and none stands in another as a whole."""
+    found = WORD.findall(text.lower()) if text else []
+    return [f" {' '.join(found[i : i + WINDOW])} ".encode("utf-8", "replace") for i in range(0, max(1, len(found) - WINDOW + STEP), STEP)] if found else []
 
 
-def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+def compressor(content: bytes) -> zstandard.ZstdCompressor:
     params = zstandard.ZstdCompressionParameters(
-        window_log=18, hash_log=17, chain_log=17, search_log=5, min_match=6, strategy=zstandard.STRATEGY_BTOPT,
+        window_log=17, hash_log=15, chain_log=16, search_log=5, min_match=6, strategy=zstandard.STRATEGY_BTLAZY2,
         format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False,
     )
+    if not content:
+        return zstandard.ZstdCompressor(compression_params=params)
     data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     return zstandard.ZstdCompressor(dict_data=data, compression_params=params)
 
@@ -66,143 +76,151 @@ class Model:
     ordinary: bytes
     weights: np.ndarray = field(default_factory=lambda: PRIOR.copy())
 
-    LIMIT = 250_000
-
     def __post_init__(self) -> None:
-        self._ready = False
+        self._pair = None
 
     def __getstate__(self) -> dict:
         return {k: getattr(self, k) for k in ("toxic", "ordinary", "weights")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        self._ready = False
-
-    def saving(self, word: str) -> int:
-        """Bytes that the toxic dictionary saves on a window."""
-        if not self._ready:
-            self._with = _compressor(LEFT + RIGHT + self.ordinary + self.toxic + RIGHT + LEFT)
-            self._without = _compressor(LEFT + RIGHT + self.ordinary + RIGHT + LEFT)
-            self._memo: dict[str, int] = {}
-            self._ready = True
-        found = self._memo.get(word)
-        if found is None:
-            frame = LEFT + f" {word} ".encode("utf-8", "replace") + RIGHT
-            found = len(self._without.compress(frame)) - len(self._with.compress(frame))
-            if len(self._memo) > self.LIMIT:
-                self._memo.clear()
-            if len(word) < 200:
-                self._memo[word] = found
-        return found
-
-    def release(self) -> None:
-        """Drops memo and compressors: idle workers keep their broadcasts."""
-        self._ready, self._memo, self._with, self._without = False, {}, None, None
+        self._pair = None
+
+    def savings(self, text: str | None) -> np.ndarray:
+        """Bytes that the toxic dictionary saves on each window of a text."""
+        if self._pair is None:
+            self._pair = compressor(self.ordinary).compress, compressor(self.ordinary + self.toxic).compress
+        without, both = self._pair
+        return np.array([len(without(w)) - len(both(w)) for w in windows(text)], float)
 
     def features(self, text: str | None) -> np.ndarray:
-        """1, and for each margin the number of distinct hits, as a logarithm and as a
-        rate."""
-        saving, found, n = self.saving, {}, 0
-        for word in windows(text):
-            n += 1
-            saved = saving(word)
-            if saved >= MARGINS[0]:
-                found[word] = saved
-        hits = np.array([[*found.values()]]) >= np.array(MARGINS)[:, None]
-        count = hits.sum(axis=1)
-        return np.r_[1.0, np.column_stack([np.log1p(count), count / np.sqrt(n + 20)]).ravel()]
+        saved = self.savings(text)
+        root = np.sqrt(len(saved) + 8)
+        over = [saved[saved >= m].sum() for m in MARGINS]
+        return np.array([1.0, *(x for o in over for x in (o / root, np.log1p(o))), saved.sum() / root])
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.features(text) @ self.weights, -40, 40))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 0.3, rounds: int = 50) -> np.ndarray:
     """Weights by Newton steps, drawn to `prior` where there are few rows."""
     w, shrink = prior.copy(), np.r_[0.1, np.full(x.shape[1] - 1, ridge)]
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(shrink)
         step = np.linalg.solve(h, x.T @ (y - p) - shrink * (w - prior))
-        w += step
+        w += step / max(1.0, np.abs(step).max() / 2)
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def trained(windows_and_counts: list[tuple[str, int]], size: int, repeat: int) -> bytes:
-    """Content of a dictionary that zstandard trains on lines of the windows, each as
-    often as it occurs (at most `repeat` times)."""
-    bag = [w for w, n in windows_and_counts for _ in range(min(n, repeat))]
-    np.random.default_rng(7).shuffle(bag)
-    lines = [f" {' '.join(bag[i : i + 8])} ".encode() for i in range(0, len(bag), 8)]
+def _grams(text: bytes) -> np.ndarray:
+    """The substrings of `GRAM` bytes, as integers."""
+    raw = np.frombuffer(text, "u1").astype("u8")
+    out = np.zeros(max(0, len(raw) - GRAM + 1), "u8")
+    for i in range(GRAM):
+        out = out << np.uint64(8) | raw[i : i + len(out)]
+    return out
+
+
+def typical_passages(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """The passages of toxic windows of which each substring of `GRAM` bytes is far more
+    frequent there than in ordinary windows."""
+    text = b"\n".join(toxic)
+    known, place, t = np.unique(_grams(text), return_inverse=True, return_counts=True)
+    other, n = np.unique(_grams(b"\n".join(ordinary)), return_counts=True)
+    o = np.zeros(len(known))
+    if len(other):
+        at = np.minimum(np.searchsorted(other, known), len(other) - 1)
+        o = np.where(other[at] == known, n[at], 0)
+    all_t, all_o = max(1, t.sum()), max(1, n.sum())
+    rate = (t + o) / (all_t + all_o)
+    typical = ((t - all_t * rate) / np.sqrt(all_t * rate) >= MIN_Z) & (t * all_o >= MIN_LIFT * o * all_t)
+    at = np.flatnonzero(typical[place])
+    if not len(at):
+        return []
+    cuts = np.flatnonzero(np.diff(at) > 1)
+    starts, ends = np.r_[at[0], at[cuts + 1]], np.r_[at[cuts], at[-1]] + GRAM
+    return [text[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+
+
+def trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
+    """Content of a dictionary that zstandard trains on the samples."""
     try:
-        return zstandard.train_dictionary(size, lines, k=64 if size > 8192 else 32, d=8).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on: it is the dictionary
-        return b"".join(f" {w} ".encode() for w, _ in windows_and_counts)[:size]
+        return zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()
+    except zstandard.ZstdError:  # too little text
+        return b"".join(dict.fromkeys(samples))[:size]
+
+
+def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Model:
+    """The two dictionaries of sorted lists of windows."""
+    order = np.random.default_rng(7).permutation(len(ordinary))
+    passages = typical_passages(toxic, ordinary)
+    return Model(
+        trained(passages, TOXIC_BYTES, 16, GRAM) if passages else b"",
+        trained([ordinary[i] for i in order], ORDINARY_BYTES, 64, 8) if ordinary else b"",
+    )
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold: Column | None = None) -> Model:
-    """Learns from labelled rows. `fold` numbers rows 0 to 3: calibration uses a third of
-    fold 3, its dictionaries all other rows."""
+    """Learns from labelled rows. `fold` numbers rows 0 to 3: calibration uses fold 3, its
+    dictionaries all other rows."""
     spark = docs.sparkSession
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_toxic"))
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_toxic"))
     fold = F.pmod(F.xxhash64("_id"), F.lit(4)) if fold is None else fold
-    known = known.withColumn("_held", (fold == 3) & (F.pmod(F.xxhash64("_id", F.lit("calibration")), F.lit(3)) == 0))
+    known = known.withColumn("_held", fold == 3)
     sizes = {r._toxic: r.n for r in known.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         rate = 0.98 if sizes.get(1) else 0.02
-        return Model(b"", b"", np.array([np.log(rate / (1 - rate)), *[0.0] * 8]))
+        return Model(b"", b"", np.array([np.log(rate / (1 - rate)), *[0.0] * (len(PRIOR) - 1)]))
+
+    def drawn(seed: str, what: Column, share: float) -> Column:
+        return F.pmod(F.xxhash64(what, F.lit(seed)), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, share)))
+
     chosen = F.lit(False)
     for value, n in sizes.items():
-        one_in = max(1, n // FIT_ROWS)
-        chosen = chosen | ((F.col("_toxic") == value) & (F.pmod(F.xxhash64("_id", F.lit("toxicity")), F.lit(one_in)) == 0))
-    some = known.where(chosen).dropDuplicates(["_id"])  # at most some 2 * 2 * FIT_ROWS rows of 16 bytes
+        chosen = chosen | ((F.col("_toxic") == value) & drawn("toxicity", F.col("_id"), FIT_ROWS / n))
+    some = known.where(chosen)  # about 2 * FIT_ROWS rows of 16 bytes at most
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(some), "_id")
 
-    # a word counts once for each pair of neighbours, so that copies of a text, near ones
-    # too, add nothing; counts without held rows are for calibration
-    in_fit = F.when(F.col("_held"), 0).otherwise(1)
-    texts = rows.select(F.col("_toxic").alias("y"), in_fit.alias("f"), F.regexp_extract_all(F.lower("_text"), F.lit(r"(\p{L}+)"), 1).alias("ws"))
-    placed = F.transform("ws", lambda w, i: F.struct(w.alias("word"), F.xxhash64(F.get("ws", i - 1), F.get("ws", i + 1)).alias("around")))
-    contexts = texts.select("y", "f", F.explode(placed).alias("p")).groupBy("p.word", "p.around").agg(
-        F.max("y").alias("t_all"), F.max(1 - F.col("y")).alias("o_all"), F.max(F.col("y") * F.col("f")).alias("t_fit"), F.max((1 - F.col("y")) * F.col("f")).alias("o_fit")
-    )
-    kinds = ("t_all", "o_all", "t_fit", "o_fit")
-    seen = written(contexts.groupBy("word").agg(*[F.sum(c).alias(c) for c in kinds]), "toxicity-words")
-    totals = seen.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in kinds]).first()
-
-    def dictionaries(kind: str) -> Model:
-        nt, no = max(1, totals[f"t_{kind}"]), max(1, totals[f"o_{kind}"])
-        t, o = F.col(f"t_{kind}").cast("double"), F.col(f"o_{kind}").cast("double")
-        rate = (t + o) / F.lit(float(nt + no))
-        z = (t - nt * rate) / F.sqrt(nt * rate * (1 - rate) + F.lit(1e-9))
-        typical = (t >= MIN_CONTEXTS) & (z >= MIN_Z) & (t * no >= MIN_LIFT * o * nt)
-        toxic = seen.where(typical).select("word", t.alias("n"), z.alias("z")).orderBy(F.desc("z"), "word").limit(TOXIC_WINDOWS).collect()
-        ordinary = seen.where(o >= 1).select("word", o.alias("n")).orderBy(F.desc("n"), "word").limit(ORDINARY_WINDOWS).collect()
-        return Model(
-            trained([(r.word, int(r.n)) for r in toxic], TOXIC_BYTES, 40) if toxic else b"",
-            trained([(r.word, int(r.n)) for r in ordinary], ORDINARY_BYTES, 60) if ordinary else b"",
-        )
-
-    model = dictionaries("fit")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [sorted({w for w in windows(text.as_py()) if len(w) <= LONGEST}) for text in part.column(2)]
+                sizes = [len(f) for f in found]
+                toxic, held = (np.repeat(part.column(i).to_numpy(zero_copy_only=False), sizes) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(held, pa.bool_()), pa.array([w for f in found for w in f], pa.binary())], ["toxic", "held", "window"])
+
+    every = rows.select("_toxic", "_held", "_text").mapInArrow(cut, "toxic int, held boolean, window binary")
+    # a window of fold 3 alone is left out of the dictionaries that calibration uses
+    every = written(every.groupBy("toxic", "window").agg(F.min("held").alias("held")), "toxicity-windows")
+    found: dict[int, tuple[list[bytes], list[bytes]]] = {}
+    for value in (0, 1):
+        own = every.where(F.col("toxic") == value)
+        some_windows = own.where(drawn("windows", F.col("window"), FIT_WINDOWS[value] / max(1, own.count()))).select("window", "held").toArrow()
+        pairs = sorted(zip(some_windows.column(0).to_pylist(), some_windows.column(1).to_pylist()))
+        found[value] = [w for w, held in pairs if not held], [w for w, _ in pairs]
+
+    model = dictionaries(found[1][0], found[0][0])
     shared = spark.sparkContext.broadcast(model)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            x = [m.features(text.as_py()).tolist() for text in batch.column(1)]
+            x = [shared.value.features(text.as_py()).tolist() for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
-        m.release()
 
-    held = rows.where("_held").select(F.col("_toxic").cast("int").alias("toxic"), "_text").mapInArrow(measured, "toxic int, x array<double>").collect()
-    final = dictionaries("all")
+    held = rows.where("_held").select("_toxic", "_text").mapInArrow(measured, "toxic int, x array<double>").collect()
+    final = dictionaries(found[1][1], found[0][1])
     y = np.array([r.toxic for r in held], float)
-    if len(y) >= 8 and y.min() < y.max():
+    if len(y):
+        final.weights = logistic(np.array([r.x for r in held]), y, PRIOR)
+    if 0 < y.sum() < len(y):
         # the classes may be thinned differently: shift the constant to their true rate
         true_rate, seen_rate = sizes[1] / (sizes[0] + sizes[1]), y.mean()
-        shift = np.log(true_rate / (1 - true_rate)) - np.log(seen_rate / (1 - seen_rate))
-        final.weights = logistic(np.array([r.x for r in held]), y, PRIOR)
-        final.weights[0] += shift
+        final.weights[0] += np.log(true_rate / (1 - true_rate)) - np.log(seen_rate / (1 - seen_rate))
     return final
 
 
@@ -211,11 +229,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            scores = [m.score(text.as_py()) for text in batch.column(1)]
+            scores = [shared.value.score(text.as_py()) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
-        m.release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(job, "doc_id long, score double")
@@ -227,11 +243,9 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float, text_col: str =
     at = docs.columns.index(text_col)
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):  # small pieces: whole texts go out again
                 part = batch.slice(start, 1024)
-                yield part.filter(pa.array([m.score(text.as_py()) < threshold for text in part.column(at)], pa.bool_()))
-        m.release()
+                yield part.filter(pa.array([shared.value.score(text.as_py()) < threshold for text in part.column(at)], pa.bool_()))
 
     return docs.mapInArrow(job, docs.schema)
