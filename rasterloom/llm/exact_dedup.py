@@ -4,13 +4,15 @@ Texts are equal when they are identical after every run of white space became on
 space. Each task inserts its normalised texts, as full UTF-8 byte strings, into a
 compressed radix trie whose terminal nodes hold the smallest identifier and a count.
 A trie over its memory budget spills by subtree: the heaviest subtree leaves as
-rows. What the tasks found then meets partitioned by length and content hash, where
-a second trie for each partition merges it. So a text travels at most once for each
-task (and spill) that met it, however many copies it has, and no task gathers a group.
+rows. What the tasks found then meets partitioned by length and content hash, where one
+owner trie for each partition merges it and spills in the same way; what it yields, an
+owner and a count, meets once more by hash. So a text travels at most once for each task
+(and spill) that met it, however many copies it has, and no task gathers a group.
 
 Defined results: null text counts as empty; the owner of a group is its smallest
 non-null id; rows with a null id belong to the group but own it only if all ids are
-null; repeated rows with the owner's id are all marked kept. An empty table gives an
+null; repeated rows with the owner's id are all marked kept, and an id that stands on
+several texts is judged text by text. An empty table gives an
 empty result. Other columns of the input are not read.
 """
 
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES
+from .common import SPACES, mark, without_rows, written
 
 #: Bytes of text that a task's trie holds before it spills its heaviest subtree.
 TRIE_BYTES = 48 << 20
@@ -122,94 +124,79 @@ class PatriciaTrie:
 
 
 _PARTIAL = pa.schema([("sha", pa.string()), ("body", pa.binary()), ("owner", pa.int64()), ("n", pa.int64())])
+_OWNERS = pa.schema([("sha", pa.string()), ("owner", pa.int64()), ("n", pa.int64())])
 
 
-def _batches(rows: list[tuple], schema: pa.Schema, least_bytes: int = 0) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+def _rows(found: Iterator[tuple[bytes, int, int]], bodies: bool) -> Iterator[pa.RecordBatch]:
+    """Terminals as rows, with their texts or without."""
+    import hashlib
 
+    out, size, schema = [], 0, _PARTIAL if bodies else _OWNERS
 
-def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import hashlib
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    trie = PatriciaTrie()
-
-    def rows(found: Iterator[tuple[bytes, int, int]]) -> Iterator[pa.RecordBatch]:
-        out, size = [], 0
-        for body, owner, n in found:
-            out.append((hashlib.sha256(body).hexdigest(), body, owner, n))
-            size += len(body)
-            if size > 4 << 20 or len(out) >= 4096:
-                yield _batches(out, _PARTIAL)
-                out, size = [], 0
-        if out:
-            yield _batches(out, _PARTIAL)
-
-    for batch in batches:
-        ids = batch.column(0).fill_null(_NO_ID).to_pylist()
-        bodies = batch.column(1).cast(pa.binary())
-        for owner, body in zip(ids, bodies):
-            trie.add(body.as_py(), owner)
-            while trie.bytes > TRIE_BYTES:
-                yield from rows(trie.spill())
-    yield from rows(trie.pop())
+    for body, owner, n in found:
+        sha = hashlib.sha256(body).hexdigest()
+        out.append((sha, body, owner, n) if bodies else (sha, owner, n))
+        size += len(body) if bodies else 0
+        if size > 4 << 20 or len(out) >= 4096:
+            yield batch()
+            out, size = [], 0
+    if out:
+        yield batch()
 
 
-_OWNERS = pa.schema([("sha", pa.string()), ("owner", pa.int64()), ("n", pa.int64())])
+def _inserted(bodies: bool, budget: int):
+    """Job that inserts rows (id, body, n) into one trie and yields its terminals."""
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = PatriciaTrie()
+        for batch in batches:
+            ids, counts = batch.column(0).fill_null(_NO_ID).to_pylist(), batch.column(2).to_pylist()
+            for owner, body, n in zip(ids, batch.column(1).cast(pa.binary()), counts):
+                trie.add(body.as_py(), owner, n)
+                while trie.bytes > budget:
+                    yield from _rows(trie.spill(), bodies)
+        yield from _rows(trie.pop(), bodies)
+
+    return job
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by length and hash: one small trie at a time is in memory."""
-    key, trie = None, PatriciaTrie()
-
-    def owners() -> list[tuple]:
-        found = list(trie.pop())
-        if len(found) > 1:
-            raise ValueError(f"two texts of one length share the SHA-256 hash {key[1]}")
-        return [(key[1], None if owner == _NO_ID else owner, n) for _, owner, n in found]
-
-    for batch in batches:
-        out = []
-        for sha, body, owner, n in zip(*(batch.column(i) for i in range(4))):
-            body, sha = body.as_py(), sha.as_py()
-            if (len(body), sha) != key:
-                if key is not None:
-                    out += owners()
-                key, trie = (len(body), sha), PatriciaTrie()
-            trie.add(body, owner.as_py(), n.as_py())
-        if out:
-            yield _batches(out, _OWNERS)
-    if key is not None:
-        yield _batches(owners(), _OWNERS)
-
-
-def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = TRIE_BYTES) -> DataFrame:
     """One row for each distinct normalised text: sha, owner (smallest id), n (rows)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), normalised(F.col(text_col)).alias("body"))
-    partial = rows.mapInArrow(_partial, "sha string, body binary, owner long, n long")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = partial.repartition(n, F.length("body"), "sha").sortWithinPartitions(F.length("body"), "sha")
-    return dealt.mapInArrow(_merged, "sha string, owner long, n long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), normalised(F.col(text_col)).alias("body"), F.lit(1).cast("long").alias("n"))
+    partial = rows.mapInArrow(_inserted(True, budget), "sha string, body binary, owner long, n long")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = partial.repartition(parts, F.length("body"), "sha").select("owner", "body", "n")
+    found = dealt.mapInArrow(_inserted(False, budget), "sha string, owner long, n long").groupBy("sha").agg(F.min("owner").alias("owner"), F.sum("n").alias("n"))
+    return found.withColumn("owner", F.when(F.col("owner") != _NO_ID, F.col("owner")))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+def _owned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per document: doc_id, its text's mark and hash, owner and size of its group."""
     every = docs.select(
-        F.col(id_col).alias("doc_id"), F.sha2(normalised(F.col(text_col)).cast("binary"), 256).alias("text_sha256")
+        F.col(id_col).alias("doc_id"), mark(F.col(text_col)).alias("mark"), F.sha2(normalised(F.col(text_col)).cast("binary"), 256).alias("text_sha256")
     )
     groups = owners(docs, id_col, text_col).where("n > 1")
+    alone = F.col("n").isNull()
     return every.join(groups, every.text_sha256 == groups.sha, "left").select(
-        "doc_id",
-        F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("owner")).alias("keep_id"),
+        "doc_id", "mark", "text_sha256",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("owner")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        F.when(F.col("n").isNull(), F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("owner"))).alias("kept"),
-        "text_sha256",
+        (alone | F.col("doc_id").eqNullSafe(F.col("owner"))).alias("kept"),
     )
 
 
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    return _owned(docs, id_col, text_col).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, whose text has no copy with a smaller id."""
-    found = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
-    return docs.join(found, docs[id_col] == found["_dropped"], "left_anti")
+    gone = _owned(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").cast("long").alias("id"), "mark").distinct()
+    return without_rows(docs, written(gone, "exact-dropped"), id_col, text_col)
 
 
 ORACLE = """

@@ -56,6 +56,23 @@ def test_exact_dedup_small(spark):
     assert (got[4].keep_id, got[4].group_size) == (4, 3) and got[None].keep_id == 4 and not got[None].kept
 
 
+def test_first_copies_keep_texts_of_repeated_and_null_ids(spark):
+    rows = [(1, "a b c"), (5, "a  b c"), (5, "unique text here"), (None, "a b c"), (None, "a b c"), (None, "z"), (8, None), (9, "")]
+    got = sorted(((r.doc_id, r.text) for r in exact_dedup.first_copies(documents(spark, rows)).collect()), key=repr)
+    assert got == sorted([(1, "a b c"), (5, "unique text here"), (None, "z"), (8, None)], key=repr)
+
+
+def test_owners_are_the_same_with_spills(spark):
+    rng = random.Random(13)
+    rows = [(i, " ".join(rng.choice(["ab", "abc", "b"]) for _ in range(rng.randint(0, 5)))) for i in range(3000)]
+    docs, want = documents(spark, rows), {}
+    for i, text in rows:
+        want.setdefault(text, []).append(i)
+    for budget in (exact_dedup.TRIE_BYTES, 2000):
+        got = {r.sha: (r.owner, r.n) for r in exact_dedup.owners(docs, budget=budget).collect()}
+        assert got == {hashlib.sha256(t.encode()).hexdigest(): (ids[0], len(ids)) for t, ids in want.items()}
+
+
 def test_trie_spills_whole_subtrees():
     rng = random.Random(3)
     keys = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 9))) for _ in range(4000)]
@@ -399,25 +416,64 @@ def test_standard_licence_headers(spark):
     assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
 
 
-def test_toxicity_learns_words(spark):
+def _toxic_corpus():
     rng = random.Random(8)
     ordinary = ["".join(rng.choice(["an", "ti", "on", "er", "sh", "ble"]) for _ in range(rng.randint(1, 4))) for _ in range(800)]
     rows, labels = [], []
-    for i in range(600):
+    for i in range(1200):
         text = [rng.choice(ordinary) for _ in range(60)]
         toxic = i % 5 == 0
         if toxic:
-            for _ in range(4):
+            for _ in range(5):
                 text[rng.randrange(60)] = rng.choice(["grumblewort", "fizzlepot", "snarkbag"])
         rows.append((i, " ".join(text)))
         labels.append((i, 1, int(toxic)))
-    docs, known = documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    return rows, labels
+
+
+def test_toxicity_held_out_and_by_brute_force(spark):
+    """Every score equals a plain reckoning from the two dictionaries; held-out rows are right."""
+    import zstandard
+
+    rows, labels = _toxic_corpus()
+    rows += [(2000, None), (2001, ""), (2002, "12 34 ..."), (2003, "x" * 100_000), (2004, "Grumblewort, SNARKBAG! fizzlepot " * 3000)]
+    docs, known = documents(spark, rows), spark.createDataFrame([*labels, (0, 1, 0), (7, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     model = queries.toxicity_model(docs, known)
     got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
-    held = [i for i in got if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert len(got) == len(rows)
+
+    def length(content, window):
+        made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=made, compression_params=params).compress(window))
+
+    params = zstandard.ZstdCompressionParameters(
+        window_log=17, hash_log=15, chain_log=16, search_log=5, min_match=6, strategy=zstandard.STRATEGY_BTLAZY2,
+        format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False,
+    )
+    for i, text in [*rows[:40], *rows[-5:-1]]:
+        words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        cut = [(" " + " ".join(words[a : a + 6]) + " ").encode() for a in range(0, len(words), 3) if a == 0 or a + 3 < len(words)]
+        saved = [length(model.ordinary, w) - length(model.ordinary + model.toxic, w) for w in cut]
+        root = (len(cut) + 8) ** 0.5
+        x = [1.0]
+        for margin in (2, 3, 4):
+            over = sum(s for s in saved if s >= margin)
+            x += [over / root, np.log(1 + over)]
+        x.append(sum(saved) / root)
+        assert abs(got[i] - 1 / (1 + np.exp(-np.dot(x, model.weights)))) < 1e-9
+    held = [i for i, _, _ in labels if zlib.crc32(str(i).encode()) % 4 == 2]
     right = sum((got[i] >= 0.3) == (i % 5 == 0) for i in held)
-    assert right / len(held) > 0.95
-    assert toxicity.keep_clean(docs, model, 0.3).columns == docs.columns
+    assert right / len(held) > 0.95 and got[2004] > 0.5 and got[2000] == got[2001] == got[2002] < 0.3
+    clean = toxicity.keep_clean(docs, model, 0.3)
+    assert clean.columns == docs.columns and {r.doc_id for r in clean.select("doc_id").collect()} == {i for i, s in got.items() if s < 0.3}
+
+
+def test_toxicity_of_few_or_no_labels(spark):
+    docs = documents(spark, [(1, "some text here"), (2, "other text there")])
+    for labels in ([], [(1, 1, 1)], [(1, 1, 0)], [(1, 1, 1), (2, 1, 0)]):
+        known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+        got = [r.score for r in toxicity.score(docs, toxicity.fit(docs, known)).collect()]
+        assert len(got) == 2 and all(0 < s < 1 for s in got)
 
 
 def test_pipeline_stages(spark):
