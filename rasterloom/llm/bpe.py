@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 _NONE = np.int64(1 << 62)
 
 
@@ -255,7 +257,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                     ids.append(hashlib.sha256(coded.encode()).hexdigest())
                     decoded.append(hashlib.sha256(plain.encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        bpe.memo.clear()  # idle workers live on
+        bpe.memo.clear()
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(job, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -272,6 +275,7 @@ def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 ids = [[int(x) for x in coded.split()] for coded, _ in bpe.strings(["" if t is None else t for t in part.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
         bpe.memo.clear()
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(job, "doc_id long, ids array<int>")

@@ -24,10 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, mark, without_rows, written
+from .common import SPACES, give_back, mark, without_rows, written
 
 #: Bytes of text that a task's trie holds before it spills its heaviest subtree.
-TRIE_BYTES = 48 << 20
+TRIE_BYTES = 16 << 20
+
+#: Bytes of a node and its places in dictionaries, about.
+NODE_BYTES = 400
 
 _NO_ID = (1 << 63) - 1
 
@@ -73,7 +76,7 @@ class PatriciaTrie:
             if step is None:
                 leaf = Node()
                 node.edges[key[at]] = (key[at:], leaf)
-                self.bytes += len(key) - at + 200
+                self.bytes += len(key) - at + NODE_BYTES
                 node, at = leaf, len(key)
                 break
             label, child = step
@@ -82,7 +85,7 @@ class PatriciaTrie:
                 middle = Node()
                 middle.edges[label[n]] = (label[n:], child)
                 node.edges[key[at]] = (label[:n], middle)
-                self.bytes += 200
+                self.bytes += NODE_BYTES
                 node, at = middle, at + n
             else:
                 node, at = child, at + len(label)
@@ -108,7 +111,7 @@ class PatriciaTrie:
             node, prefix = child, prefix + label
         if not node.edges:
             return
-        weigh = {first: sum(len(label) + 200 for label, _ in self._edges(step)) for first, step in node.edges.items()}
+        weigh = {first: sum(len(label) + NODE_BYTES for label, _ in self._edges(step)) for first, step in node.edges.items()}
         first = max(weigh, key=weigh.get)
         label, child = node.edges.pop(first)
         self.bytes -= weigh[first]
@@ -159,6 +162,8 @@ def _inserted(bodies: bool, budget: int):
                 while trie.bytes > budget:
                     yield from _rows(trie.spill(), bodies)
         yield from _rows(trie.pop(), bodies)
+        del trie
+        give_back()
 
     return job
 

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mark, small_side, without_rows, written
+from .common import give_back, mark, small_side, without_rows, written
 
 K = 5
 THRESHOLD = 0.8
@@ -229,13 +229,19 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows.append((None, 0, None))
             columns = [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *columns], ["id", "mark", "body", "n", "keys"])
+    give_back()
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [words(text.as_py()) for text in batch.column(0)]
-        seqs = [kmers(word_hashes(f)).tobytes() for f in found]
-        yield pa.RecordBatch.from_arrays([pa.array([_body(f) for f in found], pa.binary()), pa.array(seqs, pa.binary())], ["body", "seq"])
+        for at in range(0, batch.num_rows, 1024):
+            bodies, seqs = [], []
+            for text in batch.column(0).slice(at, 1024):
+                found = words(text.as_py())
+                bodies.append(_body(found))
+                seqs.append(kmers(word_hashes(found)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(bodies, pa.binary()), pa.array(seqs, pa.binary())], ["body", "seq"])
+    give_back()
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,12 +251,14 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(similarity(np.frombuffer(x.as_py(), "u8"), np.frombuffer(y.as_py(), "u8")) > 0)
         kept = pa.array(kept, pa.bool_())
         yield pa.RecordBatch.from_arrays([a.filter(kept), b.filter(kept)], ["a", "b"])
+    give_back()
 
 
 def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         linked = [similarity(np.frombuffer(x.as_py(), "u8"), np.frombuffer(y.as_py(), "u8")) > 0 for x, y in zip(batch.column(3), batch.column(4))]
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(linked, pa.bool_())], ["lead", "id", "n", "linked"])
+    give_back()
 
 
 def _crossed(group: pa.Table) -> pa.Table:

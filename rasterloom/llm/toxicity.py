@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import give_back, written
 
 FIT_ROWS, LONGEST = 12_000, 512
 FIT_WINDOWS = {0: 250_000, 1: 100_000}
@@ -232,6 +232,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             scores = [shared.value.score(text.as_py()) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(job, "doc_id long, score double")
@@ -247,5 +248,6 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float, text_col: str =
             for start in range(0, batch.num_rows, 1024):  # small pieces: whole texts go out again
                 part = batch.slice(start, 1024)
                 yield part.filter(pa.array([shared.value.score(text.as_py()) < threshold for text in part.column(at)], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(job, docs.schema)
