@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,20 +49,19 @@ def latest(rows: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
 
 def accepted_edits(log: DataFrame, key: str, seq: str, base: str) -> DataFrame:
     """Optimistic revisions: in order, an edit is accepted iff its base revision is the
-    current one, which it raises by 1. Adds `accepted` and `current`. A key's log is
-    folded as one array: it is bounded by the edits of one image."""
-    entry = F.struct(seq, base, *[c for c in log.columns if c not in (key, seq, base)])
-    logs = log.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("log"))
-    start = F.struct(F.lit(0).cast("long").alias("now"), F.array().cast("array<struct<ok:boolean,now:bigint>>").alias("out"))
-
-    def step(acc: Column, e: Column) -> Column:
-        ok = e[base] == acc["now"]
-        now = acc["now"] + ok.cast("long")
-        return F.struct(now.alias("now"), F.concat(acc["out"], F.array(F.struct(ok.alias("ok"), now.alias("now")))).alias("out"))
-
-    done = logs.withColumn("out", F.aggregate("log", start, step, lambda a: a["out"]))
-    rows = done.select(key, F.explode(F.arrays_zip("log", "out")).alias("e"))
-    return rows.select(key, "e.log.*", F.col("e.out.ok").alias("accepted"), F.col("e.out.now").alias("current"))
+    current one, which it raises by 1. Adds `accepted` and `current`. Each edit's fate hangs
+    on the one before, so a key's log is folded in order by one task, once over its rows."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, now, accepted, current = pdf.sort_values(seq), 0, [], []
+        for wanted in pdf[base]:
+            accepted.append(wanted == now)
+            now += int(accepted[-1])
+            current.append(now)
+        return pdf.assign(accepted=accepted, current=current)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in log.schema.fields)
+    return log.groupBy(key).applyInPandas(fold, f"{fields}, accepted boolean, current long")
 
 
 def undo_history(log: DataFrame, key: str, seq: str, state: str, depth: int = 30) -> DataFrame:

@@ -4,39 +4,51 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BANDS, BITS = 7, 9
+#: A hash's 63 bits are nine blocks of seven; each three of them make a key of 21 bits.
+BLOCKS, BITS, TOGETHER = 9, 7, 3
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """A checkpoint as a table in the cluster's shared folder (lineage is cut, and the
-    files outlive executors); a local session without one uses a new temporary folder."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the cluster's shared folder; a local session that names none
+    uses a temporary folder."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         top = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A checkpoint as a table in the shared folder (lineage is cut, and the files outlive
+    executors)."""
+    spark = df.sparkSession
+    path = folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def _banded(hashes: DataFrame, h: str) -> DataFrame:
-    band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
-    return hashes.select("*", band).withColumn("key", F.expr(f"shiftright({h}, {BITS} * band) & {(1 << BITS) - 1}"))
+    """A row for each choice of blocks, with the bits of these as its key."""
+    masks = [sum(((1 << BITS) - 1) << (BITS * b) for b in chosen) for chosen in combinations(range(BLOCKS), TOGETHER)]
+    mask = F.explode(F.array(*[F.lit(m) for m in masks])).alias("band")
+    return hashes.select("*", mask).withColumn("key", F.col(h).bitwiseAND(F.col("band")))
 
 
 def near_pairs(hashes: DataFrame, radius: int = 6, id_col: str = "id", h_col: str = "h") -> DataFrame:
-    """Pairs of distinct hash values within a Hamming radius under the number of bands:
-    by the pigeonhole principle they agree in a band, so no pair is lost. Rows of equal
-    hashes are one value here; `hash_members` leads back to them."""
-    if radius >= BANDS:
-        raise ValueError("the radius must stay under the number of bands")
+    """Pairs of distinct hash values within a Hamming radius: as many bits spoil at most as
+    many blocks, so three blocks agree and no pair is lost, while keys are so wide that
+    values which are not near seldom share one. Rows of equal hashes are one value here."""
+    if radius > BLOCKS - TOGETHER:
+        raise ValueError(f"the radius must be at most {BLOCKS - TOGETHER}")
     values = hashes.where(F.col(h_col).isNotNull()).select(F.col(h_col).alias("h")).distinct()
     left = _banded(values, "h")
     right = left.select(F.col("h").alias("g"), "band", "key")
@@ -96,14 +108,24 @@ def group_identity(members: DataFrame, group: str, order: str, path: str) -> Dat
 
 def split_groups(groups: DataFrame, group: str, seed: str) -> DataFrame:
     """(group, split): a tenth of the groups, at least one each, to test and to val, in
-    the order of a seeded hash; places are found by two top-k cuts, not by a global sort."""
+    the order of a seeded hash. The two cuts are found from counts of the hash's prefixes;
+    only groups of the prefix that a cut falls in are sorted."""
     n = groups.select(group).distinct()
     size = n.count()
     if size < 3:
         raise ValueError(f"at least 3 independent groups are needed, found {size}")
     take = max(1, size // 10)
     keyed = n.withColumn("_order", F.sha2(F.concat_ws("|", F.lit(seed), F.col(group).cast("string")), 256))
-    cut = lambda k: keyed.select("_order").orderBy("_order").limit(k).agg(F.max("_order")).first()[0]
+    prefix = F.substring("_order", 1, 4)
+    counts = sorted((r.p, r.n) for r in keyed.groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())  # at most 65,536 rows
+
+    def cut(place: int) -> str:
+        for value, size in counts:
+            if place <= size:
+                break
+            place -= size
+        return keyed.where(prefix == value).select("_order").orderBy("_order").limit(place).agg(F.max("_order")).first()[0]
+
     test, val = cut(take), cut(2 * take)
     return keyed.select(group, F.when(F.col("_order") <= test, "test").when(F.col("_order") <= val, "val").otherwise("train").alias("split"))
 

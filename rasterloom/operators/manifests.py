@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import written
+
 
 def mark_duplicates(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Adds `original`, the first row's `order` value, to all later rows of a key.
@@ -54,12 +56,9 @@ def hold_out_reason(rows: DataFrame, held: DataFrame, keys: Sequence[tuple[str,
     return rows.withColumn("reason", reason).drop(*[f"_held{i}" for i in range(len(keys))])
 
 
-def quota_queue(rows: DataFrame, status: str, position: str, quota: int, shards: int = 64) -> DataFrame:
-    """Adds `queued`: reviewed rows first, then pending ones by position, up to a quota.
-
-    The row at the quota is found by two-level counting: rows of each shard of the order
-    are counted, and only the shard that the quota ends in is ranked.
-    """
+def quota_queue(rows: DataFrame, status: str, position: str, quota: int) -> DataFrame:
+    """Adds `queued`: reviewed rows first, then pending ones by position, up to a quota,
+    which is a reviewer's day and not a share of the rows: its last row is found by top-k."""
     pending = (F.col(status) == "pending").cast("int")
     order = F.struct(pending.alias("p"), F.col(position).alias("pos"))
     top = rows.select(order.alias("o")).orderBy("o").limit(quota).agg(F.max("o").alias("_last"))
@@ -88,9 +87,10 @@ def union_keep_first(first: DataFrame, second: DataFrame, key: str, order: str)
 
 def numbered(rows: DataFrame, order: Sequence[str], name: str = "n") -> DataFrame:
     """Adds consecutive numbers from 1 in a total order without one global window: rows
-    are range-partitioned, each partition numbers its own, and partition sizes shift them."""
+    are range-partitioned, each partition numbers its own, and partition sizes shift them.
+    The numbered ranges are written once, as another evaluation could cut them elsewhere."""
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    local = ranged.withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33))
+    local = written(ranged.withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33)), "numbered")
     sizes = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     shifts = sizes.select("_part", F.coalesce(F.sum("_size").over(upto), F.lit(0)).alias("_shift"))

@@ -87,20 +87,26 @@ def components(pixels: DataFrame, chosen: Column) -> DataFrame:
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
         y0, x0 = y.min(), x.min()
-        far = np.int64(1 << 62)
-        grid = np.full((y.max() - y0 + 3, x.max() - x0 + 3), far)
-        at = (y - y0 + 1, x - x0 + 1)
-        grid[at] = y.astype("i8") * 65536 + x
-        on = grid < far
+        wide = int(x.max() - x0) + 3
+        own = (y - y0 + 1).astype("i8") * wide + (x - x0 + 1)  # places, with an empty border
+        size = (int(y.max() - y0) + 3) * wide
+        root = np.full(size, size, "i8")  # the border and pixels not chosen: beyond all places
+        root[own] = own
+        steps = [dy * wide + dx for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
         while True:
-            wide = grid.copy()
-            for dy in (-1, 0, 1):
-                for dx in (-1, 0, 1):
-                    wide = np.minimum(wide, np.roll(np.roll(grid, dy, 0), dx, 1))
-            wide = np.where(on, wide, far)
-            if (wide == grid).all():
-                return pdf.assign(label=grid[at])
-            grid = wide
+            # the smallest root around a pixel becomes its root's root; then all roots jump
+            least = np.minimum.reduce([root[own + s] for s in steps])
+            now = root.copy()
+            np.minimum.at(now, root[own], least)
+            now[own] = np.minimum(now[own], least)
+            while True:
+                further = now[now[own]]
+                if (further == now[own]).all():
+                    break
+                now[own] = further
+            if (now == root).all():
+                return pdf.assign(label=(root[own] // wide + y0 - 1) * 65536 + root[own] % wide + x0 - 1)
+            root = now
 
     kept = pixels.where(chosen)
     return kept.groupBy("image_id").applyInPandas(label, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in kept.schema.fields)}, label long")
@@ -165,7 +171,8 @@ def features(pixels: DataFrame, reach: int = 4) -> DataFrame:
     """Per pixel: gray, black-hat (separable closing minus gray), gradient and place."""
     row, col = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
     near_row, near_col = row.rowsBetween(-reach, reach), col.rowsBetween(-reach, reach)
-    out = pixels.withColumn("_m", F.max("v").over(near_row)).withColumn("_m", F.max("_m").over(near_col))
+    whole = pixels.repartition("image_id")  # the one shuffle: an image's rows and columns meet
+    out = whole.withColumn("_m", F.max("v").over(near_row)).withColumn("_m", F.max("_m").over(near_col))
     out = out.withColumn("_m", F.min("_m").over(near_row)).withColumn("_m", F.min("_m").over(near_col))
     out = neighbours(out)
     smooth_x = lambda c: F.coalesce(F.lag(c).over(col), F.col(c)) + 2 * F.col(c) + F.coalesce(F.lead(c).over(col), F.col(c))

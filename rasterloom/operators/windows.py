@@ -37,6 +37,17 @@ def stability(frames: DataFrame, metrics: Sequence[str], rows: int = 12, least:
     return out.withColumn("stable", F.coalesce(stable, F.lit(False))).drop("_r", "_n")
 
 
+def trailing_count(rows: DataFrame, key: str, micros: Column, reach: int, slot: int = 3_600_000_000) -> DataFrame:
+    """Adds `in_window`: rows of the key in the last `reach` microseconds, this one included.
+    A key's history is cut into time slots that tasks share; rows near a slot's end also
+    stand in the next one, where they are only counted."""
+    timed = rows.withColumn("_t", micros).withColumn("_slot", F.floor(F.col("_t") / slot))
+    late = timed.where(F.col("_t") + reach >= (F.col("_slot") + 1) * slot).withColumn("_slot", F.explode(F.sequence(F.col("_slot") + 1, F.floor((F.col("_t") + reach) / slot))))
+    both = timed.withColumn("_own", F.lit(True)).unionByName(late.withColumn("_own", F.lit(False)))
+    w = Window.partitionBy(key, "_slot").orderBy("_t").rangeBetween(-reach, 0)
+    return both.withColumn("in_window", F.count(F.lit(1)).over(w)).where("_own").drop("_t", "_slot", "_own")
+
+
 def assign_exclusively(rows: DataFrame, key: str, component: str, lines: Sequence[str], least: float) -> DataFrame:
     """(key, line, component): lines in order each take the best component that no line
     before took, from a least score on; ties go to the smaller component."""

@@ -30,13 +30,14 @@ def pseudo_labels(manifest: DataFrame, pixels: DataFrame, features: Sequence[str
     if approved.limit(3).count() < 3:
         raise ValueError("at least 3 approved rows are needed")
     held = manifest.where("split <> 'train'")
+    of_images = lambda ids: X.features(pixels.join(ids, "image_id", "left_semi"))
     pending = manifest.where("review_status = 'pending' AND split = 'train'")
     free = M.hold_out_reason(pending, held, [("subject_id", "held_out_subject"), ("sha256", "held_out_content")])
     close = G.near_any(free, held)
     free = free.join(close, free["phash"] == close["h"], "left").withColumn("reason", F.coalesce("reason", F.when(F.col("h").isNotNull(), "held_out_hash"))).drop("h")
-    seed = pixels.join(approved.where("split = 'train'").select(F.col("doc_id").alias("image_id")), "image_id", "left_semi")
+    seed = of_images(approved.where("split = 'train'").select(F.col("doc_id").alias("image_id")))
     model = L.fit(seed, features, classes)
-    scored = L.score(pixels.join(free.where("reason IS NULL").select(F.col("doc_id").alias("image_id")), "image_id", "left_semi"), model, features)
+    scored = L.score(of_images(free.where("reason IS NULL").select(F.col("doc_id").alias("image_id"))), model, features)
     found = L.mask_confidence(scored, (2, 3, 4, 5))
     route = F.when((F.col("confidence") >= confidence) & (F.col("line_ratio") >= line_ratio), "pseudo_label").otherwise("manual_review")
     kept = found.select("image_id", route.alias("route"), "confidence", "line_ratio")

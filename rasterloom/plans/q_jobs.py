@@ -26,10 +26,10 @@ def x2_pluggable_thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.thin_masks(views.pixels(spark, sf_dir).where("class_id = 2"), R.thinned).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(sql="SELECT vec_id, i::INT AS field, round(embedding[i + 1]::DOUBLE, 6) AS value FROM embeddings, (SELECT unnest(range(6)) AS i) WHERE vec_id % 2 = 0")
+@query(sql="SELECT vec_id, i::INT AS field, round(embedding[i + 1]::DOUBLE, 6) AS value FROM embeddings, (SELECT unnest(range(6)) AS i) ")
 def x3_label_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.array_join(F.expr("transform(slice(embedding, 1, 6), x -> cast(cast(x AS double) AS string))"), " ")
-    views.table(spark, sf_dir, "embeddings").where("vec_id % 2 = 0").select("vec_id", line.alias("line")).createOrReplaceTempView("_label_lines")
+    views.table(spark, sf_dir, "embeddings").select("vec_id", line.alias("line")).createOrReplaceTempView("_label_lines")
     spark.udtf.register("label_fields", S.LabelFields)
     return spark.sql("SELECT vec_id, field, round(value, 6) AS value FROM _label_lines, LATERAL label_fields(line)")
 
@@ -46,8 +46,7 @@ def x4_grouped_udaf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def x5_pseudo_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = G.written(G.grouped_manifest(views.manifest(spark, sf_dir)), "manifest")
-    pixels = X.features(views.pixels(spark, sf_dir))
-    return loops.pseudo_labels(manifest, pixels, FEATURES, confidence=0.30)
+    return loops.pseudo_labels(manifest, views.pixels(spark, sf_dir), FEATURES, confidence=0.30)
 
 
 @query("manifest", sql="""WITH o AS (SELECT *, score > 0.45 AS valid, sha256('q|' || image_path) AS h FROM manifest), r AS (SELECT *, count(*) FILTER (valid) OVER (ORDER BY h) AS ok FROM o)

@@ -98,12 +98,12 @@ def a10_gaussian_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SCORED = f"""{_MODEL}, l AS (SELECT f.image_id, f.y, f.x, model.class_id, ln(any_value(prior)) + sum(-0.5 * ((CASE feature {' '.join(f"WHEN '{f}' THEN f.{f}" for f in FEATURES)} END - mean) / std) ** 2 - ln(std)) AS l
-  FROM f CROSS JOIN model WHERE n > 0 AND f.image_id % 10 <= 1 GROUP BY ALL),
+  FROM f CROSS JOIN model WHERE n > 0 GROUP BY ALL),
 p AS (SELECT image_id, y, x, arg_max(class_id, (round(l, 9), -class_id)) AS pred, 1 / sum(exp(l - top)) AS prob FROM (SELECT *, max(l) OVER (PARTITION BY image_id, y, x) AS top FROM l) GROUP BY ALL)"""
 
 
 def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.score(X.features(views.pixels(spark, sf_dir)).where("image_id % 10 <= 1"), L.fit(training(spark, sf_dir), FEATURES, 7), FEATURES)
+    return L.score(X.features(views.pixels(spark, sf_dir)), L.fit(training(spark, sf_dir), FEATURES, 7), FEATURES)
 
 
 @query("pixels", sql=f"WITH {_SCORED} SELECT image_id, y, x, pred, round(prob, 5) AS prob FROM p")

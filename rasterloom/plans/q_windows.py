@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import annotations as A
@@ -14,13 +14,13 @@ from .registry import query
 
 @query("files", sql="SELECT path, printf('review_%06d', row_number() OVER (ORDER BY path)) AS review_id FROM files")
 def w1_sequential_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = M.numbered(views.files(spark, sf_dir).select("path"), ["path"])
+    rows = M.numbered(views.files(spark, sf_dir), ["path"])
     return rows.select("path", F.format_string("review_%06d", "n").alias("review_id"))
 
 
 @query("files", sql="SELECT path, ((row_number() OVER (ORDER BY path) - 1) // 40 + 1)::BIGINT AS page FROM files")
 def w2_pagination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = M.numbered(views.files(spark, sf_dir).select("path"), ["path"])
+    rows = M.numbered(views.files(spark, sf_dir), ["path"])
     return rows.select("path", F.expr("(n - 1) div 40 + 1").alias("page"))
 
 
@@ -69,8 +69,8 @@ def w13_exclusive_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("frames", sql="SELECT frame_id, count(*) OVER (PARTITION BY camera ORDER BY epoch_us(ts) RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW) AS in_window FROM frames")
 def w14_trailing_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    minute = Window.partitionBy("camera").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-60_000_000, 0)
-    return views.frames(spark, sf_dir).select("frame_id", F.count(F.lit(1)).over(minute).alias("in_window"))
+    rows = views.frames(spark, sf_dir).select("camera", "frame_id", "ts")
+    return W.trailing_count(rows, "camera", F.unix_micros(F.col("ts").cast("timestamp")), 60_000_000).select("frame_id", "in_window")
 
 
 @query("frames", sql="SELECT camera, max(frame_id) AS frame_id, arg_max(m1, frame_id) AS m1 FROM frames GROUP BY camera")

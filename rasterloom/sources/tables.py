@@ -38,6 +38,11 @@ def write_documents(rows: DataFrame, path: str) -> None:
     no_nans(rows).write.mode("overwrite").json(path)
 
 
+def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON documents of a schema; a malformed one is an error."""
+    return no_nans(spark.read.schema(schema).option("mode", "FAILFAST").json(path))
+
+
 def write_routed(rows: DataFrame, accepted: Column, path: str) -> None:
     """JSON lines in one folder for labels that pass and one for those to review."""
     route = F.when(accepted, "auto_labels").otherwise("manual_review")
@@ -66,13 +71,16 @@ def import_metadata(spark: SparkSession, path: str, known: DataFrame) -> tuple[D
     return marked.where(F.size("violations") == 0).drop("violations"), marked.where(F.size("violations") > 0)
 
 
-def report(rows: DataFrame, reason: str, group: str, sample: int) -> DataFrame:
-    """One row: counts by reason, number of groups, and the first rejected paths."""
+def report(rows: DataFrame, reason: str, group: str, sample: int, errors: Column | None = None, fallback: str = "no error") -> DataFrame:
+    """One row: counts by reason, number of groups, the first rejected paths, and the first
+    error text in path order, or the fallback text where no row has one."""
     blank = F.coalesce(F.nullif(F.col(reason), F.lit("")), F.lit("accepted"))
     counts = rows.groupBy(blank.alias("r")).agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("r", "n")))).alias("counts"))
     groups = rows.agg(F.countDistinct(group).alias("groups"))
     shown = rows.where(F.col(reason) != "").select("path", reason).orderBy("path").limit(sample).agg(F.array_sort(F.collect_list(F.struct("path", reason))).alias("rejected"))
-    return counts.join(groups).join(shown)  # three tables of one row
+    text = F.nullif(errors, F.lit("")) if errors is not None else F.lit(None).cast("string")
+    error = rows.agg(F.coalesce(F.min_by(text, F.when(text.isNotNull(), F.col("path"))), F.lit(fallback)).alias("error"))
+    return counts.join(groups).join(shown).join(error)  # four tables of one row
 
 
 def save_model(model: DataFrame, path: str, version: str) -> None:

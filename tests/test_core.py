@@ -251,3 +251,46 @@ def test_pseudo_label_loop_needs_approved_rows(spark):
     rows = spark.createDataFrame([(1, "pending", "train", "s", "x", 5)], "doc_id long, review_status string, split string, subject_id string, sha256 string, phash long")
     with pytest.raises(ValueError):
         loops.pseudo_labels(rows, raster(spark, np.zeros((2, 2))), ("v",))
+
+
+def test_numbers_are_consecutive_with_wide_rows(spark):
+    """Other columns travel along: partitions must be cut once, whatever their size."""
+    from rasterloom.operators import manifests
+
+    rows = spark.range(60_000).select(F.sha2(F.col("id").cast("string"), 256).alias("path"), F.repeat(F.sha2((-F.col("id")).cast("string"), 256), 8).alias("wide"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        for parts, size in (("4", "64m"), ("64", "4m")):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+            got = manifests.numbered(rows, ["path"]).select("n", "path").toPandas().sort_values("path")
+            assert got["n"].tolist() == list(range(1, 60_001))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_components_of_a_spiral(spark):
+    """A path that winds through the whole raster is one component."""
+    import numpy as np
+    from rasterloom.operators import pixels as X
+
+    grid = np.zeros((21, 21), int)
+    y, x, dy, dx = 0, 0, 0, 1
+    grid[0, 0] = 1
+    for length in [20, 20, 20, *[n for k in range(18, 0, -2) for n in (k, k)]]:
+        for _ in range(length):
+            y, x = y + dy, x + dx
+            grid[y, x] = 1
+        dy, dx = dx, -dy
+    got = X.components(raster(spark, grid), F.col("v") > 0).select("label").distinct().collect()
+    assert [r.label for r in got] == [0]
+
+
+def test_trailing_counts_across_slots(spark):
+    from rasterloom.operators import windows
+
+    times = [0, 5, 9, 10, 11, 19, 20, 20, 21, 40, 41, 95]
+    rows = spark.createDataFrame([(1, t) for t in times], "camera int, t long")
+    got = sorted((r.t, r.in_window) for r in windows.trailing_count(rows, "camera", F.col("t"), 12, 10).collect())
+    assert got == sorted((t, sum(t - 12 <= u <= t for u in times)) for t in times)
