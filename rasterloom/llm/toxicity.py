@@ -61,7 +61,7 @@ def windows(text: str | None) -> list[bytes]:
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
     params = zstandard.ZstdCompressionParameters(
-        window_log=17, hash_log=15, chain_log=16, search_log=5, min_match=6, strategy=zstandard.STRATEGY_BTLAZY2,
+        window_log=17, hash_log=15, chain_log=16, search_log=4, min_match=6, strategy=zstandard.STRATEGY_BTOPT,
         format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False,
     )
     if not content:

@@ -447,7 +447,7 @@ def test_toxicity_held_out_and_by_brute_force(spark):
         return len(zstandard.ZstdCompressor(dict_data=made, compression_params=params).compress(window))
 
     params = zstandard.ZstdCompressionParameters(
-        window_log=17, hash_log=15, chain_log=16, search_log=5, min_match=6, strategy=zstandard.STRATEGY_BTLAZY2,
+        window_log=17, hash_log=15, chain_log=16, search_log=4, min_match=6, strategy=zstandard.STRATEGY_BTOPT,
         format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False,
     )
     for i, text in [*rows[:40], *rows[-5:-1]]:
