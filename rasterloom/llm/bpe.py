@@ -82,7 +82,7 @@ class PairRanks:
 class WordBpe:
     """Encoder and decoder of one vocabulary file."""
 
-    LIMIT = 250_000  # of about 350 bytes each
+    LIMIT = 150_000  # of about 350 bytes each
 
     def __init__(self, path: str, added: bool = False) -> None:
         import regex
