@@ -64,10 +64,11 @@ def canonical_turns(rows: DataFrame, record: str = "record") -> DataFrame:
         hit = F.col("_fingerprint") == F.xxhash64(F.lit(paths))
         layout = F.when(hit, F.lit(name)).otherwise(layout)
         turns = F.when(hit, F.expr(_rule(rule).replace("record", f"`{record}`") if record != "record" else _rule(rule))).otherwise(turns)
+    own = F.col("_fingerprint") == F.xxhash64(F.lit(LAYOUTS["turn_row"][0]))  # its roles stay as they are
     clean = F.transform(
         turns,
         lambda x: F.struct(
-            F.coalesce(names[F.coalesce(x["role"], F.lit(""))], x["role"], F.lit("")).alias("role"),
+            F.coalesce(F.when(~own, names[F.coalesce(x["role"], F.lit(""))]), x["role"], F.lit("")).alias("role"),
             F.coalesce(x["text"], F.lit("")).alias("text"),
         ),
     )

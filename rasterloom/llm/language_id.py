@@ -1,7 +1,7 @@
 """Language identification by nearest centroid.
 
 A text becomes a vector of hashed character trigrams: lower case, everything but letters
-one space, UTF-8 bytes of each three-byte window. Weights are (1 + log count) times the
+one space, UTF-8 bytes of each three-byte window. Weights are log(1 + count) times the
 inverse document frequency, scaled to length 1. Each language has several centroids,
 from spherical k-means; a text gets the language of the centroid with the highest cosine.
 A text whose cosine distance exceeds that centroid's radius is rejected: it is outside
@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ RADIUS_QUANTILE, SLACK = 0.99, 1.25
 #: Texts scored by one matrix product.
 BLOCK = 256
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _OTHER = re.compile(r"[\W\d_]+")
 
 

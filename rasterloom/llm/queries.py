@@ -50,7 +50,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = language_id.fit(docs.where(~held_out(F.col("doc_id"))))
+    model = language_id.fit(docs.where(~held_out(F.col("doc_id"))), pick=F.col("doc_id"))  # copies are drawn one by one
     found = language_id.predict(docs, model)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("nearest").alias("lang_pred"), "score", "rejected")
 

@@ -139,6 +139,21 @@ def test_chat_round_trip(spark):
         assert r.loss_text == "".join(text for role, text in want if role == "assistant")
 
 
+def test_chat_roles_of_the_table_stay(spark, tmp_path):
+    rows = [(1, 0, "human", "hi"), (1, 1, "gpt", "yo"), (2, 1, "assistant", None), (2, 0, None, "x"), (3, 0, "model", "")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in queries.op2_chat_format(spark, str(tmp_path)).collect()}
+    want = {1: "human\nhi\ngpt\nyo\n", 2: "\nx\nassistant\n\n", 3: "model\n\n"}
+    assert {i: got[i].turns_sha256 for i in want} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+    assert got[1].loss_chars == 0 and got[-1].loss_chars == len("<|im_end|><|im_start|>assistant ok")
+
+
+def test_language_of_texts_without_letters(spark):
+    docs = documents(spark, [(i, t, "en", None) for i, t in enumerate(["some words here", "½ ² Ⅷ", "12 _ 3", None, "", "é"])])
+    got = {r.doc_id: r.nearest for r in language_id.predict(docs, language_id.fit(docs)).collect()}
+    assert got == {0: "en", 1: "und", 2: "und", 3: "und", 4: "und", 5: "en"}
+
+
 def test_language_id_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = queries.op3_language_id(spark, SF).where("held_out").join(docs, "doc_id")
