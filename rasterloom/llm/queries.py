@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, language_id, license_scan, mixing, near_dedup, token_files, toxicity, vector_search
+from . import bpe, chat, exact_dedup, language_id, license_scan, lm_scoring, mixing, near_dedup, token_files, toxicity, vector_search
 from .common import fold, held_out, table
 
 
@@ -99,9 +99,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), added=True)
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7, F.lit(0)) == 2
+    found = lm_scoring.score(table(spark, sf_dir, "documents"), ~held)
+    return found.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_source_mix, op2_chat_format, op3_language_id, op4_vector_topk, op5_near_dedup, op6_exact_dedup, op7_token_files, op8_license_scan, op9_toxicity, op10_bpe)
+    for f in (op1_source_mix, op2_chat_format, op3_language_id, op4_vector_topk, op5_near_dedup, op6_exact_dedup, op7_token_files, op8_license_scan, op9_toxicity, op10_bpe, op11_lm_scoring)
 }
 ORACLES = {
     "op1_source_mix": mixing.ORACLE,
