@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, language_id, license_scan, lm_scoring, mixing, near_dedup, token_files, toxicity, vector_search
+from . import bpe, chat, collocations, exact_dedup, language_id, lexical_search, license_scan, lm_scoring, mixing, near_dedup, token_files, toxicity, vector_search
 from .common import fold, held_out, table
 
 
@@ -105,9 +105,17 @@ def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(lexical_search.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_source_mix, op2_chat_format, op3_language_id, op4_vector_topk, op5_near_dedup, op6_exact_dedup, op7_token_files, op8_license_scan, op9_toxicity, op10_bpe, op11_lm_scoring)
+    for f in (op1_source_mix, op2_chat_format, op3_language_id, op4_vector_topk, op5_near_dedup, op6_exact_dedup, op7_token_files, op8_license_scan, op9_toxicity, op10_bpe, op11_lm_scoring, op12_collocations, op13_lexical_search)
 }
 ORACLES = {
     "op1_source_mix": mixing.ORACLE,
@@ -115,4 +123,6 @@ ORACLES = {
     "op4_vector_topk": vector_search.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op8_license_scan": license_scan.ORACLE,
+    "op12_collocations": collocations.ORACLE,
+    "op13_lexical_search": lexical_search.ORACLE,
 }
