@@ -33,6 +33,9 @@ from .common import give_back, written
 
 LEAST, LONGEST, COVERED, REPORTED = 30, 4, (80, 100), 2000
 
+#: A language's phrases are ranked in so many slots first.
+SLOTS = 64
+
 _BREAK = "."  # a separator, so no word
 CHARS = byte_map({9: 32} | dict.fromkeys([10, 11, 12, 13, *b".,;:!?"], 10))
 _ROUNDS = 4
@@ -311,8 +314,9 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", lea
     words = kept.select("ids", "a", "best", F.posexplode("ids").alias("pos", "id")).join(vocabulary.select("id", "lang", "word"), "id")
     named = words.groupBy("ids").agg(F.first("lang").alias("lang"), F.first("a").alias("a"), F.first("best").alias("best"), F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("words"))
     named = named.select("lang", F.array_join("words.word", " ").alias("phrase"), "a", "best.l", "best.r", "best.score")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    first = named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= reported)
+    order, first = [F.desc("score"), F.desc("a"), F.col("phrase")], named.withColumn("_slot", F.pmod(F.xxhash64("phrase"), F.lit(SLOTS)))
+    for keys in (["lang", "_slot"], ["lang"]):  # a language may hold most phrases
+        first = first.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= reported)
     totals = listed.groupBy("lang").agg(F.sum("n_words").alias("n"))
     return first.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
 
