@@ -23,5 +23,5 @@ def query(*views: str, sql: str | None = None):
     return add
 
 
-for _module in ("q_columns", "q_relational", "q_aggregates", "q_windows", "q_graph", "q_pixels", "q_keypoints", "q_jobs", "q_sources"):
+for _module in ("q_columns", "q_relational", "q_aggregates", "q_windows", "q_graph", "q_pixels", "q_keypoints", "q_jobs", "q_sources", "q_files", "q_streams"):
     importlib.import_module(f"{__package__}.{_module}")

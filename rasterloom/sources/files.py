@@ -49,11 +49,11 @@ def jpeg_size(data: bytes) -> tuple[int, int] | None:
     return None
 
 
-def probed(spark: SparkSession, path: str) -> DataFrame:
+def probed(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """path, length, sha256, width, height, reason: limits are checked on the listing and
     the header, before anything is decoded."""
-    small = listing(spark, path).where(F.col("length") <= MAX_BYTES)  # pushed to the source
-    large = listing(spark, path).where(F.col("length") > MAX_BYTES).select("path", "length", F.lit(None).cast("string").alias("sha256"), *[F.lit(None).cast("int").alias(c) for c in ("width", "height")])
+    small = listing(spark, path).where(F.col("length") <= max_bytes)  # pushed to the source
+    large = listing(spark, path).where(F.col("length") > max_bytes).select("path", "length", F.lit(None).cast("string").alias("sha256"), *[F.lit(None).cast("int").alias(c) for c in ("width", "height")])
 
     def sizes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -64,7 +64,7 @@ def probed(spark: SparkSession, path: str) -> DataFrame:
     both = read.unionByName(large)
     w, h = F.col("width"), F.col("height")
     reason = (
-        F.when(F.col("length") > MAX_BYTES, "file_size_limit").when(w.isNull(), "bad_read")
+        F.when(F.col("length") > max_bytes, "file_size_limit").when(w.isNull(), "bad_read")
         .when((w > MAX_SIDE) | (h > MAX_SIDE) | (w.cast("long") * h > MAX_PIXELS), "pixel_limit").otherwise("")
     )
     return both.withColumn("reason", reason)

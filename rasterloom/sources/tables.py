@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import written
+from .ranges import dealt, listed, opened
+
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """A CSV manifest with all columns as text; an empty one is an error."""
@@ -49,12 +53,86 @@ def write_routed(rows: DataFrame, accepted: Column, path: str) -> None:
     rows.withColumn("route", route).write.mode("overwrite").partitionBy("route").json(path)
 
 
-def read_lines(spark: SparkSession, path: str, schema: str, offset: int, count: int) -> tuple[DataFrame, DataFrame]:
-    """Records `offset` to ``offset + count`` of a JSON-lines file, and the malformed ones
-    among them with their first 500 characters. One file is read as one ordered piece."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("ordinal"), "value").orderBy("ordinal").offset(offset).limit(count)
+#: Bytes of a split of the line index; bytes read at a time.
+SPLIT, PIECE = 64 << 20, 1 << 20
+_LINES = "path string, start long, bytes long, lines long"
+
+
+def line_index(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
+    """One row for each split of the files below `path`, in their order: path, start, bytes,
+    lines that begin in it, and `first`, the number of lines before it. It is written, to be
+    kept with the files. Splits are counted by many tasks; only the running sum, of a row a
+    split, is one task's."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = []
+            for name, start, size in zip(*(c.to_pylist() for c in batch.columns)):
+                with opened(name) as file:  # a line begins after each line feed but the file's last byte
+                    file.seek(max(0, start - 1))
+                    left, n = size - int(start == 0), int(start == 0)
+                    while left > 0 and (piece := file.read(min(PIECE, left))):
+                        n, left = n + piece.count(b"\n"), left - len(piece)
+                lines.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lines, pa.int64())], ["path", "start", "bytes", "lines"])
+
+    files = listed(spark, path).where("length > 0")
+    splits = files.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split).cast("long"))))
+    splits = splits.select("path", "start", F.least(F.lit(split), F.col("length") - F.col("start")).cast("long").alias("bytes"))
+    before = Window.orderBy("path", "start").rowsBetween(Window.unboundedPreceding, -1)
+    lines = dealt(splits, "path", "start").mapInArrow(counted, _LINES)
+    return written(lines.withColumn("first", F.coalesce(F.sum("lines").over(before), F.lit(0)).cast("long")), "line-index")
+
+
+def slice_lines(index: DataFrame, offset: int, count: int) -> DataFrame:
+    """ordinal, value: lines `offset` to ``offset + count`` of an indexed file or folder. Only
+    the splits that hold them are opened, and each only as far as the last line."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, start, size, first in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "bytes", "first"))):
+                with opened(name) as file:
+                    yield from _split_lines(file, start, size, first, offset, offset + count)
+
+    needed = index.where((F.col("first") < offset + count) & (F.col("first") + F.col("lines") > offset))
+    return dealt(needed, "path", "start").mapInArrow(lines, "ordinal long, value string")
+
+
+def _split_lines(file: pa.NativeFile, start: int, size: int, ordinal: int, low: int, high: int) -> Iterator[pa.RecordBatch]:
+    """Lines with numbers from `low` to `high` that begin in the split."""
+    file.seek(max(0, start - 1))
+    at, rest, skip = max(0, start - 1), b"", start > 0
+    while ordinal < high:
+        piece = file.read(PIECE)
+        *whole, tail = (rest + piece).split(b"\n")
+        if not piece:
+            whole, tail = ([tail] if tail else []), b""
+        found, numbers = [], []
+        for line in whole:
+            if skip:
+                skip = False
+            elif at >= start + size or ordinal >= high:
+                ordinal = high
+                break
+            else:
+                if ordinal >= low:
+                    found.append(line.decode("utf-8-sig" if at == 0 else "utf-8", "replace").rstrip("\r"))
+                    numbers.append(ordinal)
+                ordinal += 1
+            at += len(line) + 1
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(found, pa.string())], ["ordinal", "value"])
+        rest = tail
+        if not piece or at >= start + size:
+            break
+
+
+def read_lines(spark: SparkSession, path: str, schema: str, offset: int, count: int, index: DataFrame | None = None, split: int = SPLIT) -> tuple[DataFrame, DataFrame]:
+    """Records `offset` to ``offset + count`` of JSON-lines files, and the malformed ones
+    among them with their first 500 characters. An `index` that is kept saves its count."""
+    lines = slice_lines(line_index(spark, path, split) if index is None else index, offset, count)
     parsed = lines.withColumn("record", F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
-    bad = F.col("record._corrupt_record").isNotNull()
+    bad = F.col("record._corrupt_record").isNotNull() | F.col("record").isNull()
     return parsed.where(~bad).select("ordinal", "record.*").drop("_corrupt_record"), parsed.where(bad).select("ordinal", F.substring("value", 1, 500).alias("head"))
 
 
@@ -106,3 +184,8 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Summaries of all runs below `path`, with the run's name."""
     rows = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "summary.json").json(path)
     return rows.select(F.element_at(F.split(F.input_file_name(), "/"), -2).alias("run"), "*").orderBy("run")
+
+
+def runs_with_reviews(spark: SparkSession, path: str) -> DataFrame:
+    """Names of the runs that own a review queue, from the listing alone."""
+    return listed(spark, path, "review.csv").where(F.col("path").endswith("/review/review.csv")).select(F.element_at(F.split("path", "/"), -3).alias("run")).distinct()
