@@ -1,5 +1,5 @@
 """Queries that write files in the shared folder and read them back, and streams that run
-over what is available into a table (S10 to S14, S16, S18 to S20, S22, S23, ST2, ST5, ST9)."""
+over what is available into a table (S10 to S13, S16, S18 to S20, S22, S23, ST9)."""
 
 from __future__ import annotations
 
@@ -123,29 +123,6 @@ def s23_frame_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table_of(stream.select("camera", "generation", "frame_id", "m1"), "frames").select("camera", "generation", "frame_id", F.round("m1", 6).alias("m1"))
 
 
-@query("frames", sql="SELECT camera, max(generation) AS generation, max(frame_id) FILTER (generation = top) AS frame_id FROM (SELECT *, max(generation) OVER (PARTITION BY camera) AS top FROM frames) GROUP BY camera")
-def st2_latest_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest frame of each camera in one micro-batch over all files."""
-    path = folder(spark, "latest")
-    sink = S.latest_only(lambda newest, batch: newest.write.mode("overwrite").parquet(f"{path}/rows/{batch}"))
-    stream = S.read_frames(spark, _frame_files(spark, sf_dir, 4), 1000)
-    stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.option("recursiveFileLookup", True).parquet(f"{path}/rows").select("camera", "generation", "frame_id")
-
-
-@query(sql="SELECT event_id AS request_id, event_id % 4 AS reply FROM events WHERE event_id % 3 <> 0 AND event_id % 40 < 31")
-def st5_replies_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests joined, as streams, with the replies that came within 30 seconds."""
-    events = views.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    asked, told = folder(spark, "asked"), folder(spark, "told")
-    events.select(F.col("event_id").alias("request_id"), F.col("ts").alias("sent")).write.json(asked)
-    late = F.col("ts") + F.make_dt_interval(secs=F.col("event_id") % 40)
-    events.where("event_id % 3 <> 0").select(F.col("event_id").alias("reply_to"), late.alias("received"), (F.col("event_id") % 4).alias("result")).write.json(told)
-    requests, replies = spark.readStream.schema("request_id long, sent timestamp").json(asked), spark.readStream.schema("reply_to long, received timestamp, result long").json(told)
-    found = _table_of(S.matched_replies(requests, replies), "replies")
-    return found.where("result IS NOT NULL").select("request_id", F.col("result").alias("reply"))
-
-
 @query("files", sql="SELECT DISTINCT sha256 FROM files")
 def st9_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each content that arrives within the watermark."""

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 FRAME_SCHEMA = "camera long, generation long, frame_id long, ts timestamp, lines int, m1 double, m2 double, m3 double, m4 double"
 
@@ -36,7 +35,23 @@ def throttled(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpo
     return stream.writeStream.foreachBatch(latest_only(sink)).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
 
 
+def slot_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink for `latest_only`: each batch overwrites its own folder, so that a batch which
+    runs again after a restart leaves the table as it was."""
+
+    def write(newest: DataFrame, batch_id: int) -> None:
+        newest.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
+def slots(spark: SparkSession, path: str) -> DataFrame:
+    """What `slot_sink` has written: the newest frames of each batch."""
+    return spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+
+
 LOCK_SCHEMA = "camera long, generation long, frame_id long, ts timestamp, action string, locked_frame long"
+IDLE_MS = 3_600_000
 
 
 def relative_spread(history: list[list[float]], floor: float = 0.03) -> float | None:
@@ -47,51 +62,109 @@ def relative_spread(history: list[list[float]], floor: float = 0.03) -> float |
     return float(np.percentile(std[use] / mean[use], 80)) if use.any() else None
 
 
-def lock_machine(frames: DataFrame, lock_on_first: bool = True, hold_seconds: float = 3.0, rows: int = 12, limit: float = 0.10, least_lines: int = 2, idle: str = "1 hour") -> DataFrame:
-    """One action a frame: ``clear`` (too few lines), ``wait``, ``lock`` and, while locked,
-    ``locked`` with the frame that the snapshot holds. A frame of an older generation is
-    ``stale``; a newer generation starts over. State is a camera's last frames."""
-
-    def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        generation, history, since, locked = state.get if state.exists else (-1, "[]", -1.0, -1)
-        history = json.loads(history)
-        out = []
-        for f in pd.concat(list(pdfs)).sort_values(["ts", "frame_id"]).itertuples():
-            if f.generation < generation:
+class LockMachine(StatefulProcessor):
+    """A camera's state: its slot (generation, stable since, locked frame, timer) as a value,
+    its last frames' metrics as a list, and an event-time timer that drops both when the
+    camera has been idle. A frame that comes later than that finds no state either, whether
+    or not the watermark was there first."""
+
+    def __init__(self, lock_on_first: bool, hold_seconds: float, rows: int, limit: float, least_lines: int, idle_ms: int):
+        self.rule, self.idle = (lock_on_first, hold_seconds, rows, limit, least_lines), idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.slot = handle.getValueState("slot", "generation long, since double, locked long, timer long")
+        self.frames = handle.getListState("frames", "m1 double, m2 double, m3 double, m4 double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        lock_on_first, hold_seconds, most, limit, least_lines = self.rule
+        generation, since, locked, timer = self.slot.get() if self.slot.exists() else (None, None, None, None)
+        history = [list(f) for f in self.frames.get()] if self.frames.exists() else []
+        out, end = [], timer
+        for f in pd.concat(list(rows)).sort_values(["ts", "frame_id"]).itertuples():
+            now = f.ts.value // 1_000_000
+            if end is not None and now > end:
+                generation, history, since, locked = None, [], None, None
+            end = max(end or 0, now + self.idle)
+            if generation is not None and f.generation < generation:
                 out.append((key[0], f.generation, f.frame_id, f.ts, "stale", None))
                 continue
-            if f.generation > generation:
-                generation, history, since, locked = int(f.generation), [], -1.0, -1
+            if generation is None or f.generation > generation:
+                generation, history, since, locked = int(f.generation), [], None, None
             at = f.ts.timestamp()
-            if locked >= 0:
+            if locked is not None:
                 action = "locked"
             elif f.lines < least_lines:
-                history, since, action = [], -1.0, "clear"
+                history, since, action = [], None, "clear"
+            elif lock_on_first:
+                locked, action = int(f.frame_id), "lock"
             else:
-                history = [*history, [f.m1, f.m2, f.m3, f.m4]][-rows:]
+                history = [*history, [f.m1, f.m2, f.m3, f.m4]][-most:]
+                spread = relative_spread(history) if len(history) >= 3 else None
                 action = "wait"
-                if lock_on_first:
+                if spread is None or spread >= limit:
+                    since = None
+                elif since is None:
+                    since = at
+                elif at - since >= hold_seconds:
                     locked, action = int(f.frame_id), "lock"
-                else:
-                    spread = relative_spread(history) if len(history) >= 3 else None
-                    if spread is None or spread >= limit:
-                        since = -1.0
-                    elif since < 0:
-                        since = at
-                    elif at - since >= hold_seconds:
-                        locked, action = int(f.frame_id), "lock"
-            out.append((key[0], f.generation, f.frame_id, f.ts, action, locked if locked >= 0 else None))
-        state.update((generation, json.dumps(history), since, locked))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 3_600_000)
-        yield pd.DataFrame(out, columns=["camera", "generation", "frame_id", "ts", "action", "locked_frame"])
-
-    return (
-        frames.withWatermark("ts", idle).groupBy("camera")
-        .applyInPandasWithState(fold, LOCK_SCHEMA, "generation long, history string, since double, locked long", "append", GroupStateTimeout.EventTimeTimeout)
-    )
+            out.append((key[0], f.generation, f.frame_id, f.ts, action, locked))
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(end)
+        self.slot.update((generation, since, locked, end))
+        if history:
+            self.frames.put([tuple(map(float, h)) for h in history])
+        elif self.frames.exists():
+            self.frames.clear()
+        found = pd.DataFrame(out, columns=["camera", "generation", "frame_id", "ts", "action", "locked_frame"])
+        yield found.assign(locked_frame=found["locked_frame"].astype("Int64"))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.slot.clear()
+        self.frames.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def lock_machine(frames: DataFrame, lock_on_first: bool = True, hold_seconds: float = 3.0, rows: int = 12, limit: float = 0.10, least_lines: int = 2, late: str = "1 hour", idle_ms: int = IDLE_MS) -> DataFrame:
+    """One action a frame: ``clear`` (too few lines), ``wait``, ``lock`` and, while locked,
+    ``locked`` with the frame that the snapshot holds. A frame of an older generation is
+    ``stale``; a newer generation starts over, and so does a camera that was idle for longer
+    than `idle_ms`. Needs the RocksDB state store."""
+    machine = LockMachine(lock_on_first, hold_seconds, rows, limit, least_lines, idle_ms)
+    return frames.withWatermark("ts", late).groupBy("camera").transformWithStateInPandas(machine, LOCK_SCHEMA, "Append", "EventTime")
+
+
+RESULT_SCHEMA = "camera long, generation long, frame_id long, ts timestamp, reset boolean"
+
+
+class Generations(StatefulProcessor):
+    """A camera's newest generation; it never goes back, so it has no timer."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", "generation long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        (newest,) = self.newest.get() if self.newest.exists() else (None,)
+        pdf = pd.concat(list(rows)).sort_values(["ts", "frame_id"])
+        before = pdf["generation"].cummax().shift()
+        before = before.fillna(-1 if newest is None else newest).clip(lower=-1 if newest is None else newest)
+        self.newest.update((int(max(before.iloc[-1], pdf["generation"].iloc[-1])),))
+        kept = pdf.assign(reset=pdf["generation"] > before)[pdf["generation"] >= before]
+        yield kept[["camera", "generation", "frame_id", "ts", "reset"]]
+
+    def close(self) -> None:
+        pass
+
+
+def current_results(results: DataFrame) -> DataFrame:
+    """Results (camera, generation, frame_id, ts) of the camera's newest generation so far;
+    those of older ones, which began before a reset, are dropped. `reset` marks the first of
+    a generation. Generations count from 0."""
+    return results.groupBy("camera").transformWithStateInPandas(Generations(), RESULT_SCHEMA, "Append", "None")
 
 
 def matched_replies(requests: DataFrame, replies: DataFrame, timeout: str = "30 seconds") -> DataFrame:

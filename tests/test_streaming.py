@@ -89,7 +89,64 @@ def test_dedupe_and_upserts(spark, tmp_path):
     assert sorted(r.sha256 for r in got) == ["x", "y"]
     events = [[{"review_id": "r1", "status": "approved", "notes": "n", "seq": 1}], [{"review_id": "r1", "status": "rejected", "notes": "m", "seq": 3}, {"review_id": "r2", "status": "pending", "notes": "", "seq": 2}]]
     src = stream(spark, feed(tmp_path / "s", events), "review_id string, status string, notes string, seq long")
-    table = str(tmp_path / "table")
-    src.writeStream.foreachBatch(L.status_upserts(spark, table)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    assert {r.review_id: r.status for r in spark.read.parquet(f"{table}/v1").collect()} == {"r1": "rejected", "r2": "pending"}
-    assert spark.read.parquet(f"{table}/v1").where(F.col("review_id") == "r1").count() == 1
+    table = L.BucketedTable(spark, str(tmp_path / "table"), "review_id string, status string, notes string, seq long", "review_id", "seq")
+    src.writeStream.foreachBatch(L.status_upserts(table)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.review_id, r.status) for r in table.read().collect()) == [("r1", "rejected"), ("r2", "pending")]
+
+
+def test_a_merge_rewrites_its_buckets_only_and_can_run_again(spark, tmp_path):
+    table = L.BucketedTable(spark, str(tmp_path / "t"), "k long, v string, seq long", "k", "seq", 8)
+    rows = lambda *r: spark.createDataFrame(list(r), "k long, v string, seq long")
+    assert table.read().count() == 0
+    table.merge(rows(*[(i, "a", i) for i in range(200)]), 0)
+    first = table.manifest()
+    assert len(first) == 8 and table.read().count() == 200
+    for _ in range(2):  # the second run is the same batch again
+        table.merge(rows((3, "b", 1000), (3, "old", 5), (7, "late", 1)), 1)
+        changed = {b for b, v in table.manifest().items() if v == 1}
+        assert 1 <= len(changed) <= 2 and all(v == 0 for b, v in table.manifest().items() if b not in changed)
+        got = {r.k: r.v for r in table.read().collect()}
+        assert len(got) == 200 and got[3] == "b" and got[7] == "a"
+    assert {p.name for p in (tmp_path / "t").glob("bucket=*/version=1")} == {"version=1"} and len(list((tmp_path / "t").glob("bucket=*/version=1"))) == len(changed)
+    table.merge(rows(), 2)
+    assert table.read().count() == 200
+
+
+def test_a_batch_that_runs_again_leaves_the_slots_as_they_were(spark, tmp_path):
+    sink = S.latest_only(S.slot_sink(str(tmp_path / "slots")))
+    rows = spark.createDataFrame([(1, 0, 5, 0.5), (1, 1, 2, 0.25), (2, 0, 9, 0.0)], "camera long, generation long, frame_id long, m1 double")
+    for batch in (0, 0, 1):
+        sink(rows, batch)
+    got = sorted((r.batch, r.camera, r.frame_id) for r in S.slots(spark, str(tmp_path / "slots")).collect())
+    assert got == [(0, 1, 2), (0, 2, 9), (1, 1, 2), (1, 2, 9)]
+
+
+def test_an_idle_camera_starts_over(spark, tmp_path):
+    far = S.IDLE_MS // 1000 * 3
+    path = feed(tmp_path / "f", [[frame(1, 0)], [frame(2, far) | {"camera": 2}], [frame(3, far + 1, lines=1)]])
+    got = {r.frame_id: r.action for r in run(S.lock_machine(S.read_frames(spark, path)), "idle", tmp_path)}
+    assert got == {1: "lock", 2: "lock", 3: "clear"}  # without the timer, frame 3 would be locked
+
+
+def test_results_from_before_a_reset_are_dropped(spark, tmp_path):
+    path = feed(tmp_path / "f", [[frame(1, 0), frame(2, 1, generation=2)], [frame(3, 2, generation=1), frame(4, 3, generation=2)], [frame(5, 4, generation=3), frame(6, 5)]])
+    got = {r.frame_id: r.reset for r in run(S.current_results(S.read_frames(spark, path)), "current", tmp_path)}
+    assert got == {1: True, 2: True, 4: False, 5: True}
+
+
+def test_uploads_expire(spark, tmp_path):
+    c = lambda u, seq, offset, at: {"upload_id": u, "seq": seq, "offset": offset, "length": 5, "total": 10, "ts": at}
+    hour = 3600
+    rows = [[c("a", 0, 0, 0), c("b", 1, 0, 1), c("b", 2, 5, 2)], [c("c", 3, 0, 7 * hour)], [c("a", 4, 5, 8 * hour), c("c", 5, 5, 13 * hour)], [c("d", 6, 0, 30 * hour)]]
+    out = L.assembled_chunks(stream(spark, feed(tmp_path / "c", rows), "upload_id string, seq long, offset long, length long, total long, ts timestamp"))
+    got = sorted((r.upload_id, r.seq, r.status, r.received) for r in run(out, "expiry", tmp_path))
+    # a expires before its second chunk, which then is out of place, and once more; b is complete
+    assert got == [("a", -1, "expired", 0), ("a", -1, "expired", 5), ("a", 0, "accepted", 5), ("a", 4, "conflict", 0), ("b", 1, "accepted", 5), ("b", 2, "complete", 10), ("c", 3, "accepted", 5), ("c", 5, "complete", 10), ("d", 6, "accepted", 5)]
+
+
+def test_a_silent_client_keeps_no_state(spark, tmp_path):
+    rows = [[{"client": 1, "request_id": 0, "ts": 0}], [{"client": 2, "request_id": 1, "ts": 5000}], [{"client": 3, "request_id": 2, "ts": 9000}]]
+    out = L.rate_limited(stream(spark, feed(tmp_path / "r", rows), "client long, request_id long, ts timestamp"), most=1)
+    assert all(r.admitted for r in run(out, "silent", tmp_path))
+    state = spark.read.format("statestore").option("stateVarName", "timer").load(str(tmp_path / "silent"))
+    assert {r[0] for r in state.select("key.client").collect()} == {3}
