@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import written
+
 MIN_STD = 0.025
 
 
@@ -22,8 +24,9 @@ def fit(pixels: DataFrame, features: Sequence[str], classes: int) -> DataFrame:
     has the mean and std of all of them; priors follow the root of the counts."""
     spark = pixels.sparkSession
     long = pixels.select("class_id", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])).alias("f")).select("class_id", "f.*")
-    one = long.groupBy("class_id", "feature").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"), F.count(F.lit(1)).alias("c"))
-    every = long.groupBy("feature").agg(F.avg("value").alias("gm"), F.stddev_pop("value").alias("gs"))
+    sets = long.groupingSets([["class_id", "feature"], ["feature"]], "class_id", "feature")  # one pass for classes and all
+    sets = written(sets.agg(F.grouping("class_id").alias("_all"), F.avg("value").alias("m"), F.stddev_pop("value").alias("s"), F.count(F.lit(1)).alias("c")), "moments")
+    one, every = sets.where("_all = 0").drop("_all"), sets.where("_all = 1").select("feature", F.col("m").alias("gm"), F.col("s").alias("gs"))
     ids = spark.range(classes).select(F.col("id").cast("int").alias("class_id"))
     grid = ids.join(F.broadcast(every))  # classes x features rows
     table = grid.join(F.broadcast(one), ["class_id", "feature"], "left").select(

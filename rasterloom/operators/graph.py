@@ -64,6 +64,21 @@ def row_pairs(hashes: DataFrame, radius: int = 6) -> DataFrame:
     return pairs.where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "distance").distinct()
 
 
+def hash_members(hashes: DataFrame) -> DataFrame:
+    """(id, value): the smallest id of the rows with the same hash, for each row."""
+    first = hashes.groupBy("h").agg(F.min("id").alias("value"))
+    return hashes.select("id", "h").join(first.withColumnRenamed("h", "g"), F.col("h") == F.col("g")).select("id", "value")
+
+
+def value_pairs(hashes: DataFrame, radius: int = 6) -> DataFrame:
+    """Pairs (a < b) of `hash_members` values within the radius: with the membership they hold
+    every pair of rows, and grow with the distinct hashes and not with their copies."""
+    first = hashes.where("h IS NOT NULL").groupBy("h").agg(F.min("id").alias("value"))
+    near = near_pairs(first.withColumnRenamed("value", "id"), radius)
+    near = near.join(first.select("h", F.col("value").alias("i")), "h").join(first.select(F.col("h").alias("g"), F.col("value").alias("j")), "g")
+    return near.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "distance")
+
+
 def near_any(rows: DataFrame, held: DataFrame, radius: int = 6, h_col: str = "phash") -> DataFrame:
     """Distinct hashes of `rows` that lie within the radius of any hash of `held`."""
     left = _banded(rows.where(F.col(h_col).isNotNull()).select(F.col(h_col).alias("h")).distinct(), "h")

@@ -125,3 +125,53 @@ def resample(points: DataFrame, width: float, height: float, n: int = 6, least:
     part = F.coalesce(F.least(F.greatest((F.col("goal") - F.col("start")) / F.nullif(F.col("stop") - F.col("start"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
     at = F.struct("k", (F.col("ax") + part * (F.col("sx") - F.col("ax"))).alias("x"), (F.col("ay") + part * (F.col("sy") - F.col("ay"))).alias("y"))
     return hit.groupBy("image_id", "line", "i").agg(F.min(at).alias("p")).select("image_id", "line", "i", "p.x", "p.y")
+
+
+# Fixed values of the validity rules: points of a line, least palm width in pixels, least
+# confidence, least step (pixels, and part of the palm width), sharpest turn in degrees,
+# and the product below which two segments cross.
+N_POINTS, LEAST_PALM, LEAST_CONFIDENCE, LEAST_STEP, STEP_PART, SHARPEST, CROSSED = 6, 4.0, 0.90, 0.25, 0.002, 135.0, -1e-10
+
+
+def validity(points: DataFrame, width: int, height: int) -> DataFrame:
+    """(image_id, line, reasons): why a line's points (k, x, y, confidence; its palm_width)
+    can't be measured, in the order of the rules. The first five rules end the search; a low
+    confidence is noted; a collapsed step ends it; turns and crossings are noted. One shuffle
+    by line; the rules are expressions over its ordered points."""
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    x, y, confidence = (F.col(c).cast("double") for c in ("x", "y", "confidence"))
+    lines = points.groupBy("image_id", "line").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and(finite(x) & finite(y)).alias("numbers"), F.bool_and((x >= 0) & (x <= 1) & (y >= 0) & (y <= 1)).alias("inside"),
+        F.max(F.col("palm_width").cast("double")).alias("palm"), F.bool_and(finite(confidence) & (confidence >= 0) & (confidence <= 1)).alias("rated"), F.min(confidence).alias("least"),
+        F.array_sort(F.collect_list(F.struct("k", (x * (width - 1)).alias("x"), (y * (height - 1)).alias("y")))).alias("p"),
+    )
+    at = lambda i: F.element_at("p", i)
+    whole = F.coalesce(F.col("numbers"), F.lit(False)) & (F.col("n") == N_POINTS)  # the expressions below need all points
+    between = lambda i: F.struct((at(i + 1)["x"] - at(i)["x"]).alias("x"), (at(i + 1)["y"] - at(i)["y"]).alias("y"))
+    lines = lines.withColumn("d", F.when(whole, F.array(*[between(i) for i in range(1, N_POINTS)])))
+    steps = F.transform("d", lambda d: F.sqrt(d["x"] * d["x"] + d["y"] * d["y"]))
+    lines = lines.withColumn("s", steps)
+
+    def bend(i: int) -> Column:
+        a, b = F.element_at("d", i), F.element_at("d", i + 1)
+        cosine = (a["x"] * b["x"] + a["y"] * b["y"]) / F.nullif(F.element_at("s", i) * F.element_at("s", i + 1), F.lit(0.0))
+        return F.degrees(F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0))))
+
+    def side(o: Column, a: Column, b: Column) -> Column:
+        return (a["x"] - o["x"]) * (b["y"] - o["y"]) - (a["y"] - o["y"]) * (b["x"] - o["x"])
+
+    def cross(i: int, j: int) -> Column:
+        a, b, c, d = at(i), at(i + 1), at(j), at(j + 1)
+        return (side(a, b, c) * side(a, b, d) < CROSSED) & (side(c, d, a) * side(c, d, b) < CROSSED)
+
+    crossed = F.array_contains(F.array(*[cross(i, j) for i in range(1, N_POINTS - 1) for j in range(i + 2, N_POINTS)]), True)
+    palm = F.col("palm")
+    first = (
+        F.when(~F.coalesce(F.col("numbers"), F.lit(False)) | F.lit(width < 2 or height < 2), "invalid_keypoints").when(F.col("n") != N_POINTS, "missing_keypoints").when(~F.col("inside"), "out_of_bounds")
+        .when(~finite(palm) | (palm < LEAST_PALM), "invalid_palm_reference").when(~F.coalesce(F.col("rated"), F.lit(False)), "invalid_confidence")
+    )
+    low = F.when(F.col("least") < LEAST_CONFIDENCE, "low_keypoint_confidence")
+    collapsed = F.array_min("s") < F.greatest(F.lit(LEAST_STEP), palm * STEP_PART)
+    shape = [F.when(F.array_max(F.array(*[bend(i) for i in range(1, N_POINTS - 1)])) > SHARPEST, "keypoint_order_or_sharp_turn"), F.when(crossed, "keypoint_self_intersection")]
+    found = F.when(first.isNotNull(), F.array(first)).when(collapsed, F.array(low, F.lit("duplicate_or_collapsed_keypoints"))).otherwise(F.array(low, *shape))
+    return lines.select("image_id", "line", F.array_compact(found).alias("reasons"))

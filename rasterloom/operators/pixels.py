@@ -167,6 +167,46 @@ def block_mean(pixels: DataFrame, factor: int) -> DataFrame:
     return pixels.groupBy("image_id", F.expr(f"y div {factor}").cast("int").alias("y"), F.expr(f"x div {factor}").cast("int").alias("x")).agg(F.avg("v").alias("v"))
 
 
+def keep_aspect(pixels: DataFrame, size: int) -> DataFrame:
+    """(image_id, w, h, nw, nh, x0, y0): each image's sides, its sides when the longer one
+    becomes `size` (halves to even), and its place in the middle of a square."""
+    sides = pixels.groupBy("image_id").agg((F.max("x") + 1).cast("int").alias("w"), (F.max("y") + 1).cast("int").alias("h"))
+    scaled = lambda c: F.greatest(F.lit(1), F.bround(F.col(c) * F.lit(float(size)) / F.greatest("w", "h"), 0).cast("int"))
+    sides = sides.withColumn("nw", scaled("w")).withColumn("nh", scaled("h"))
+    return sides.withColumn("x0", F.expr(f"({size} - nw) div 2").cast("int")).withColumn("y0", F.expr(f"({size} - nh) div 2").cast("int"))
+
+
+def letterbox_nearest(pixels: DataFrame, size: int, pad: int = 0) -> DataFrame:
+    """Each image in a `size` x `size` square: output pixel x takes source pixel
+    x * w div nw, and what lies outside is `pad`. The inverse of that rule gives each source
+    pixel its run of output pixels, so that no grid is joined; the margins are made from
+    one row an image."""
+    sides = keep_aspect(pixels, size)
+    # outputs x with x * w div nw = s run from ceil(s * nw / w) to ceil((s + 1) * nw / w) - 1
+    run = lambda s, n, side: F.expr(f"CASE WHEN ({s} * {n} + {side} - 1) div {side} < (({s} + 1) * {n} + {side} - 1) div {side} THEN sequence(({s} * {n} + {side} - 1) div {side}, (({s} + 1) * {n} + {side} - 1) div {side} - 1) ELSE array() END")
+    placed = pixels.select("image_id", "y", "x", "v").join(sides, "image_id").withColumn("oy", F.explode(run("y", "nh", "h"))).withColumn("ox", F.explode(run("x", "nw", "w")))
+    inner = placed.select("image_id", (F.col("oy") + F.col("y0")).cast("int").alias("y"), (F.col("ox") + F.col("x0")).cast("int").alias("x"), F.col("v").cast("int").alias("v"))
+    all_of = F.sequence(F.lit(0), F.lit(size - 1))
+    margin = sides.withColumn("y", F.explode(all_of)).withColumn("x", F.explode(all_of)).where("y < y0 OR y >= y0 + nh OR x < x0 OR x >= x0 + nw")
+    return inner.unionByName(margin.select("image_id", "y", "x", F.lit(pad).alias("v")))
+
+
+def resize_area(pixels: DataFrame, size: int) -> DataFrame:
+    """Area resize with kept aspect to any smaller size: an output pixel is the mean of the
+    source area that it covers, with parts of pixels by their share. Each source pixel adds
+    to the one or two output pixels that it overlaps on each axis; one shuffle by output pixel."""
+    sides = keep_aspect(pixels, size)
+
+    def overlaps(s: str, n: str, side: str) -> Column:
+        # output o covers [o * side, (o + 1) * side), source s covers [s * n, (s + 1) * n), in parts of a pixel
+        at = F.expr(f"sequence({s} * {n} div {side}, (({s} + 1) * {n} - 1) div {side})")
+        return F.transform(at, lambda o: F.struct(o.cast("int").alias("o"), (F.least((o + 1) * F.col(side), (F.col(s) + 1) * F.col(n)) - F.greatest(o * F.col(side), F.col(s) * F.col(n))).cast("long").alias("part")))
+
+    rows = pixels.select("image_id", "y", "x", "v").join(sides, "image_id").withColumn("_y", F.explode(overlaps("y", "nh", "h"))).withColumn("_x", F.explode(overlaps("x", "nw", "w")))
+    weight = F.col("_y.part") * F.col("_x.part")
+    return rows.groupBy("image_id", F.col("_y.o").alias("y"), F.col("_x.o").alias("x")).agg((F.sum(F.col("v") * weight) / F.sum(weight)).alias("v"))
+
+
 def features(pixels: DataFrame, reach: int = 4) -> DataFrame:
     """Per pixel: gray, black-hat (separable closing minus gray), gradient and place."""
     row, col = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")

@@ -15,6 +15,17 @@ def j9_near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.row_pairs(views.hashes(spark, sf_dir))
 
 
+@query("hashes", sql="SELECT id, min(id) OVER (PARTITION BY h) AS value FROM hashes")
+def j9_hash_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.hash_members(views.hashes(spark, sf_dir))
+
+
+@query("hashes", sql="WITH v AS (SELECT h, min(id) AS id FROM hashes GROUP BY h) SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM v a JOIN v b ON a.id < b.id WHERE bit_count(xor(a.h, b.h)) <= 6")
+def j9_value_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near pairs of distinct hashes; `j9_hash_members` tells each row's."""
+    return G.value_pairs(views.hashes(spark, sf_dir))
+
+
 @query("hashes", sql="SELECT id FROM hashes a WHERE id % 3 <> 0 AND EXISTS (SELECT 1 FROM hashes b WHERE b.id % 3 = 0 AND bit_count(xor(a.h, b.h)) <= 6)")
 def j8_hold_out_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.hashes(spark, sf_dir).withColumnRenamed("h", "phash")

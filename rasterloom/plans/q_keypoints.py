@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import keypoints as K
@@ -123,3 +123,36 @@ def r5_hull_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     corners = views.points(spark, sf_dir).select("image_id", (F.col("x") * 7).alias("x"), (F.col("y") * 7).alias("y"))
     filled = R.inside_hull(views.pixels(spark, sf_dir).select("image_id", "y", "x"), R.hulls(corners))
     return filled.groupBy("image_id").agg(F.count(F.lit(1)).alias("filled"))
+
+
+_FLAWED = """fl AS (SELECT image_id, line, k, CASE WHEN image_id % 17 = 2 AND k = 3 THEN NULL WHEN image_id % 17 = 4 AND k = 2 THEN x + 2 WHEN image_id % 17 = 9 AND k = 3 THEN first_value(x) OVER w ELSE x END AS x,
+  CASE WHEN image_id % 17 = 9 AND k = 3 THEN first_value(y) OVER w ELSE y END AS y, CASE WHEN image_id % 17 = 7 AND k = 1 THEN 1.5 WHEN image_id % 17 IN (8, 9) AND k = 1 THEN 0.5 ELSE 0.95 END AS confidence,
+  CASE image_id % 17 WHEN 5 THEN NULL WHEN 6 THEN 3.9 ELSE 120 END AS palm_width FROM points WHERE NOT (image_id % 17 = 3 AND k = 5)
+  WINDOW w AS (PARTITION BY image_id, line ORDER BY k ROWS BETWEEN 1 PRECEDING AND CURRENT ROW))"""
+
+
+@query("points", sql=f"""WITH {_FLAWED},
+ln AS (SELECT image_id, line, count(*) AS n, bool_and(x IS NOT NULL AND y IS NOT NULL) AS numbers, bool_and(x BETWEEN 0 AND 1 AND y BETWEEN 0 AND 1) AS inside, max(palm_width) AS palm, bool_and(confidence BETWEEN 0 AND 1) AS rated,
+  min(confidence) AS least, list(x * 639 ORDER BY k) AS px, list(y * 479 ORDER BY k) AS py FROM fl GROUP BY ALL),
+dd AS (SELECT *, [px[i + 1] - px[i] FOR i IN range(1, 6)] AS dx, [py[i + 1] - py[i] FOR i IN range(1, 6)] AS dy FROM ln),
+ss AS (SELECT *, [sqrt(dx[i] ** 2 + dy[i] ** 2) FOR i IN range(1, 6)] AS s FROM dd),
+tt AS (SELECT *, list_max([degrees(acos(least(greatest((dx[i] * dx[i + 1] + dy[i] * dy[i + 1]) / nullif(s[i] * s[i + 1], 0), -1), 1))) FOR i IN range(1, 5)]) AS turn FROM ss),
+ij AS (SELECT * FROM (VALUES (1, 3), (1, 4), (1, 5), (2, 4), (2, 5), (3, 5)) v(i, j)),
+cc AS (SELECT DISTINCT image_id, line, TRUE AS crossed FROM tt, ij WHERE n = 6 AND numbers
+  AND (dx[i] * (py[j] - py[i]) - dy[i] * (px[j] - px[i])) * (dx[i] * (py[j + 1] - py[i]) - dy[i] * (px[j + 1] - px[i])) < -1e-10
+  AND (dx[j] * (py[i] - py[j]) - dy[j] * (px[i] - px[j])) * (dx[j] * (py[i + 1] - py[j]) - dy[j] * (px[i + 1] - px[j])) < -1e-10)
+SELECT image_id, line, CASE WHEN NOT numbers THEN 'invalid_keypoints' WHEN n <> 6 THEN 'missing_keypoints' WHEN NOT inside THEN 'out_of_bounds' WHEN palm IS NULL OR palm < 4 THEN 'invalid_palm_reference' WHEN NOT rated THEN 'invalid_confidence'
+  WHEN list_min(s) < greatest(0.25, palm * 0.002) THEN concat_ws(',', CASE WHEN least < 0.9 THEN 'low_keypoint_confidence' END, 'duplicate_or_collapsed_keypoints')
+  ELSE concat_ws(',', CASE WHEN least < 0.9 THEN 'low_keypoint_confidence' END, CASE WHEN turn > 135 THEN 'keypoint_order_or_sharp_turn' END, CASE WHEN crossed THEN 'keypoint_self_intersection' END) END AS reasons
+FROM tt LEFT JOIN cc USING (image_id, line)""")
+def r1_validity_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules, over points a third of which are made to break one or two."""
+    flaw, k = F.col("image_id") % 17, F.col("k")
+    before = Window.partitionBy("image_id", "line").orderBy("k")
+    own = lambda c: F.when((flaw == 9) & (k == 3), F.lag(c).over(before)).otherwise(F.col(c))
+    points = views.points(spark, sf_dir).select(
+        "image_id", "line", "k", F.when((flaw == 2) & (k == 3), None).when((flaw == 4) & (k == 2), F.col("x") + 2).otherwise(own("x")).alias("x"), own("y").alias("y"),
+        F.when((flaw == 7) & (k == 1), 1.5).when(flaw.isin(8, 9) & (k == 1), 0.5).otherwise(0.95).alias("confidence"), F.when(flaw == 5, None).when(flaw == 6, 3.9).otherwise(120.0).alias("palm_width"),
+    )
+    found = K.validity(points.where(~((flaw == 3) & (k == 5))), 640, 480)
+    return found.select("image_id", "line", F.array_join("reasons", ",").alias("reasons"))

@@ -10,6 +10,7 @@ from ..operators import classifier as L
 from ..operators import graph as G
 from ..operators import pixels as X
 from ..operators import polylines as R
+from ..operators.graph import written
 from . import views
 from .registry import query
 
@@ -82,8 +83,12 @@ def w10_sample_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training(spark, sf_dir).groupBy("image_id", "class_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def sampled(pixels: DataFrame) -> DataFrame:
+    return L.capped(pixels.where("image_id % 10 > 1 AND class_id <> 6"), 20, "s")
+
+
 def training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.capped(X.features(views.pixels(spark, sf_dir)).where("image_id % 10 > 1 AND class_id <> 6"), 20, "s")
+    return sampled(X.features(views.pixels(spark, sf_dir)))
 
 
 _LONG = " UNION ALL ".join(f"SELECT class_id, '{f}' AS feature, {f} AS value FROM t" for f in FEATURES)
@@ -103,7 +108,9 @@ p AS (SELECT image_id, y, x, arg_max(class_id, (round(l, 9), -class_id)) AS pred
 
 
 def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.score(X.features(views.pixels(spark, sf_dir)), L.fit(training(spark, sf_dir), FEATURES, 7), FEATURES)
+    """Every pixel's class. Features are made once, for the fit and the scoring."""
+    pixels = written(X.features(views.pixels(spark, sf_dir)), "features")
+    return L.score(pixels, L.fit(sampled(pixels), FEATURES, 7), FEATURES)
 
 
 @query("pixels", sql=f"WITH {_SCORED} SELECT image_id, y, x, pred, round(prob, 5) AS prob FROM p")
@@ -243,6 +250,32 @@ def k2_block_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.block_mean(views.pixels(spark, sf_dir), 2)
 
 
+#: Images cut to 8, 7 or 5 rows, and their sides in a square of 13 and of 5 pixels.
+_OBLONG = "o AS (SELECT image_id, y, x, v FROM pixels WHERE y < [8, 7, 5][image_id % 3 + 1])"
+_SIDES = """d AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM o GROUP BY image_id),
+s AS (SELECT *, greatest(1, round_even(w * {0}.0::DOUBLE / greatest(w, h), 0)::INT) AS nw, greatest(1, round_even(h * {0}.0::DOUBLE / greatest(w, h), 0)::INT) AS nh FROM d)"""
+
+
+def _oblong(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = F.element_at(F.array(F.lit(8), F.lit(7), F.lit(5)), (F.col("image_id") % 3 + 1).cast("int"))
+    return views.pixels(spark, sf_dir).where(F.col("y") < rows)
+
+
+@query("pixels", sql=f"""WITH {_OBLONG}, {_SIDES.format(13)}, g AS (SELECT s.*, gy.y AS gy, gx.x AS gx, gy.y - (13 - nh) // 2 AS oy, gx.x - (13 - nw) // 2 AS ox FROM s, (SELECT unnest(range(13)) AS y) gy, (SELECT unnest(range(13)) AS x) gx)
+SELECT g.image_id, gy::INT AS y, gx::INT AS x, coalesce(o.v, 114)::INT AS v FROM g LEFT JOIN o ON o.image_id = g.image_id AND oy BETWEEN 0 AND nh - 1 AND ox BETWEEN 0 AND nw - 1 AND o.y = oy * h // nh AND o.x = ox * w // nw""")
+def k2_letterbox_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.letterbox_nearest(_oblong(spark, sf_dir), 13, 114)
+
+
+@query("pixels", sql=f"""WITH {_OBLONG}, {_SIDES.format(5)},
+t AS (SELECT s.*, gy.y AS oy, gx.x AS ox FROM s, (SELECT unnest(range(5)) AS y) gy, (SELECT unnest(range(5)) AS x) gx WHERE gy.y < nh AND gx.x < nw),
+p AS (SELECT t.image_id, oy, ox, v, (least((oy + 1) * h, (y + 1) * nh) - greatest(oy * h, y * nh)) * (least((ox + 1) * w, (x + 1) * nw) - greatest(ox * w, x * nw)) AS part
+  FROM t JOIN o ON o.image_id = t.image_id AND y * nh < (oy + 1) * h AND (y + 1) * nh > oy * h AND x * nw < (ox + 1) * w AND (x + 1) * nw > ox * w)
+SELECT image_id, oy::INT AS y, ox::INT AS x, round(sum(v * part) / sum(part), 9) AS v FROM p GROUP BY ALL""")
+def k2_area_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.resize_area(_oblong(spark, sf_dir), 5).select("image_id", "y", "x", F.round("v", 9).alias("v"))
+
+
 _DCT = "CASE WHEN {k} = 0 THEN sqrt(1.0 / 8) ELSE sqrt(2.0 / 8) END * cos(pi() * (2 * {i} + 1) * {k} / 16)"
 
 
