@@ -12,7 +12,8 @@ stands in one class already, or is ruled out by the bound below:
   (the one whose buckets hold the most texts, as the text that copies derive from);
 * buckets of one leader are one group. Its texts that are not linked to the leader are then
   compared with all others of the group, in blocks of bounded size: k-mers shared by all
-  pairs of a block are counted at once, and only pairs with enough of them are verified.
+  pairs of a block are counted at once, and only pairs with enough of them are verified that
+  no link of the block has joined yet; a block has fewer links than rows.
 
 So each candidate pair is compared or stands in one class already; no pair is lost, and
 work that grows with a group's square is left only for texts away from its leader.
@@ -263,7 +264,8 @@ def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _crossed(group: pa.Table) -> pa.Table:
     """Links (a, b) of a block between its rows in `rest`, which no leader is linked to, and
-    its other rows; of these, one link to the leader's class is enough for a text."""
+    its other rows. A pair that earlier links of the block have joined needs none, so that
+    there are fewer links than rows."""
     group = group.combine_chunks()
     rest, linked = (group.column(c).to_numpy(zero_copy_only=False) for c in ("rest", "linked"))
     ids = group.column("id").to_pylist()
@@ -272,18 +274,26 @@ def _crossed(group: pa.Table) -> pa.Table:
     order = {x: i for i, x in enumerate(sorted(set(ids)))}
     rank = np.array([order[x] for x in ids])
     r, c = np.flatnonzero(rest), np.flatnonzero(~rest)
+    # texts that a link has joined already, by a parent each; those of the leader's class are one
+    leader = len(order)
+    node, parent = np.where(linked, leader, rank), list(range(len(order) + 1))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
     links = []
     if len(r) and len(c):
         same = shared_counts([seqs[i] for i in r], [seqs[i] for i in c])
         enough = THRESHOLD / (1 + THRESHOLD) * (n[r][:, None] + n[c][None, :]) - 1e-9
         near = (same >= enough) & (linked[c][None, :] | (rank[c][None, :] > rank[r][:, None]))
         for i, row in zip(r, near):
-            joined = False
-            for k in np.flatnonzero(row):
-                j = c[k]
-                if not (linked[j] and joined) and similarity(seqs[i], seqs[j]) > 0:
+            for j in c[np.flatnonzero(row)]:
+                x, y = top(int(node[i])), top(int(node[j]))
+                if x != y and similarity(seqs[i], seqs[j]) > 0:
                     links.append((ids[i], ids[j]))
-                    joined = joined or bool(linked[j])
+                    parent[x] = y
     return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
 
 
