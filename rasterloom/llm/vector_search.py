@@ -11,9 +11,10 @@ Scores are exact integers: components are whole numbers, products of doubles are
 while every partial sum stays under 2**53 and Python integers beyond that.
 
 Defined results: rows with a null id or vector, or a null or non-finite component, take
-no part; only vectors of equal length are compared; ties go to the smaller id; repeated
-query ids are answered once, repeated items count as rows of their own; an empty side
-gives an empty result; other columns are not read.
+no part; only vectors of equal length are compared; ties go to the smaller id; a query id
+that stands on several vectors is answered for the smallest of them, repeated items count
+as rows of their own; products past 64 bits are held at the bounds of a long, and tie
+there; an empty side gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -83,19 +84,23 @@ def tiles(rows: DataFrame, id_col: str, vec_col: str, size: int) -> DataFrame:
     return kept.mapInArrow(_packer(size), _TILES)
 
 
+#: Inner products past 64 bits are held at these bounds.
+_BOUND = 2**63 - 1
+
+
 def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     top = lambda a: float(np.abs(a).max(initial=0.0))
     if top(q) * top(x) * max(1, q.shape[1]) < 2**53:
         return (q @ x.T).astype("i8")
     exact = lambda a: np.array([[int(v) for v in row] for row in a], dtype=object).reshape(a.shape)
-    return exact(q) @ exact(x).T
+    return np.clip(exact(q) @ exact(x).T, -_BOUND, _BOUND).astype("i8")
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row number, score and id of each row's k best; `ids` ascending for ties."""
     n = len(ids)
-    if scores.dtype == object or np.abs(scores).max(initial=0) >= 2**62 // max(n, 1):
-        cols = np.array([sorted(range(n), key=lambda j: (-row[j], j))[:k] for row in scores]).reshape(len(scores), -1)
+    if np.abs(scores).max(initial=0) >= 2**62 // max(n, 1):
+        cols = np.argsort(-scores, axis=1, kind="stable")[:, :k]
     else:
         key = scores * n + (n - 1 - np.arange(n))
         cols = np.argpartition(-key, min(k, n) - 1, axis=1)[:, :k] if n > k else np.tile(np.arange(n), (len(scores), 1))
@@ -158,7 +163,8 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, id_col: str = "vec_id",
     """query_id, rank (from 1), item_id, score: each query's k best items but itself."""
     spark = items.sparkSession
     groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    q = tiles(queries.dropDuplicates([id_col]).coalesce(max(1, groups // 4)), id_col, vec_col, QUERY_TILE)
+    asked = queries.groupBy(id_col).agg(F.min(F.col(vec_col).cast("array<double>")).alias(vec_col))
+    q = tiles(asked.coalesce(max(1, groups // 4)), id_col, vec_col, QUERY_TILE)
     q = q.select(F.col("tile").alias("query_tile"), "dim", F.col("ids").alias("qids"), F.col("body").alias("qbody"))
     q = q.withColumn("node", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     x = tiles(items, id_col, vec_col, TILE).withColumn("node", F.pmod(F.xxhash64("tile"), F.lit(groups)).cast("int"))
