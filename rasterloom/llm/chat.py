@@ -13,7 +13,9 @@ role are written ``\\n`` and ``\\\\``.
 
 Defined results: null text or role is empty; role names are kept as they are, with the
 names of other systems mapped by `ROLE_NAMES`; turns of a conversation that share a
-turn number are ordered by role, then text; a null id is a conversation of its own.
+turn number are ordered by role, then text; a null id is a conversation of its own;
+repeated rows are turns of their own; an empty table gives an empty one; work grows in
+proportion to a conversation's length; other columns are not read.
 """
 
 from __future__ import annotations
@@ -98,25 +100,38 @@ def format_turns(turns: Column) -> Column:
     return F.array_join(F.transform(turns, one), "")
 
 
+#: Turns that are summed together, and code points that are cut together, so that work
+#: grows with a conversation's length and not with its square.
+SUMMED, CUT = 128, 1024
+
+
+def _bound(value: Column, body) -> Column:
+    """`body` of a value that is evaluated once for the row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(sizes: Column) -> Column:
+    """Sums of all elements before each one, in groups of `SUMMED`."""
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+    groups = lambda xs: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(xs) / SUMMED).cast("int") - 1)), lambda g: total(F.slice(xs, g * SUMMED + 1, F.lit(SUMMED))))
+    befores = lambda sums: F.transform(sums, lambda _, g: total(F.slice(sums, F.lit(1), g)))
+    place = lambda i: F.floor(i / SUMMED).cast("int")
+    each = lambda xs, before: F.transform(xs, lambda _, i: F.get(before, place(i)) + total(F.slice(xs, place(i) * SUMMED + 1, i % SUMMED)))
+    return _bound(sizes, lambda xs: _bound(_bound(groups(xs), befores), lambda before: each(xs, before)))
+
+
 def loss_spans(turns: Column) -> Column:
     """Code point spans [start, end) of the assistants' texts in the formatted text."""
-    sized = F.transform(
-        turns,
-        lambda x: F.struct(
-            (x["role"] == "assistant").alias("on"),
-            (F.length(escape_role(x["role"])) + F.lit(len(START) + 1)).cast("long").alias("head"),
-            F.length(escape(x["text"])).cast("long").alias("body"),
-        ),
-    )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
+    head = lambda x: (F.length(escape_role(x["role"])) + F.lit(len(START) + 1)).cast("long")
+    body = lambda x: F.length(escape(x["text"])).cast("long")
+    sized = F.transform(turns, lambda x: F.struct((x["role"] == "assistant").alias("on"), head(x).alias("head"), body(x).alias("body")))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["head"]
-        end = begin + x["body"]
-        span = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        return F.struct((end + F.lit(len(END) + 1)).alias("at"), F.when(x["on"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def spans(xs: Column) -> Column:
+        starts = _running(F.transform(xs, lambda x: x["head"] + x["body"] + F.lit(len(END) + 1)))
+        both = F.filter(F.arrays_zip(xs.alias("x"), starts.alias("at")), lambda z: z["x"]["on"])
+        return F.transform(both, lambda z: F.struct((z["at"] + z["x"]["head"]).alias("start"), (z["at"] + z["x"]["head"] + z["x"]["body"]).alias("end")))
 
-    return F.aggregate(sized, start, step, lambda acc: acc["spans"])
+    return _bound(sized, spans)
 
 
 def read_back(formatted: Column) -> Column:
@@ -130,9 +145,13 @@ def read_back(formatted: Column) -> Column:
 
 
 def masked_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, in order, nothing between."""
-    cut = lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
-    return F.array_join(F.transform(spans, cut), "")
+    """All text under the loss mask, unescaped, in order, nothing between. The text is cut
+    into pieces once, and a span is cut from its pieces."""
+    piece = lambda x: F.floor(x / CUT).cast("int")
+    near = lambda pieces, s: F.array_join(F.slice(pieces, piece(s["start"]) + 1, piece(s["end"] - 1) - piece(s["start"]) + 1), "")
+    cut = lambda pieces, s: F.when(s["end"] > s["start"], unescape(F.substring(near(pieces, s), (s["start"] % CUT + 1).cast("int"), (s["end"] - s["start"]).cast("int")))).otherwise("")
+    pieces = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+    return _bound(pieces, lambda ps: F.array_join(F.transform(spans, lambda s: cut(ps, s)), ""))
 
 
 def conversations_from_rows(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
