@@ -423,7 +423,7 @@ def test_standard_licence_headers(spark):
         return "/*\n * " + x.replace("\n", "\n * ") + "\n */\nint main() {}"
 
     full = [(APACHE, "Apache-2.0"), (MIT, "MIT"), (BSD, "BSD"), (GPL.format(v=3), "GPL-3.0"), (GPL.format(v=2), "GPL-2.0")]
-    tags = [("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3.0"), ("GPL-3.0-or-later", "GPL-3.0"), ("BSD-3-Clause", "BSD")]
+    tags = [("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3.0"), ("GPL-3.0-or-later", "GPL-3.0"), ("BSD-3-Clause", "BSD-3-Clause")]
     cases = [(form(x), [name]) for x, name in full for form in (str, comment, lambda x: " ".join(x.split()))]
     cases += [(f"# SPDX-License-Identifier: {tag}\nx = 1", [name]) for tag, name in tags]
     cases += [("All rights\nreserved.", ["Proprietary"]), ("They were\nreleased under the MIT license\ntoday", ["MIT"]), ("It was released under the MIT license.", []), ("Is it licensed?\nUnder the MIT license.", [])]
