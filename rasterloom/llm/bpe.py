@@ -5,15 +5,20 @@ of the pair that starts there, joined with its position, so the root yields the
 lowest-rank merge. A merge rewrites three leaves (the pair, the pair before it, the
 symbol that went) and repairs their paths: logarithmic work for each merge, until the
 root holds no mergeable pair. Trees of pre-tokens of similar length are worked on side
-by side: each tree level is one array over all of them.
+by side: each tree level is one array over all of them. A pre-token of `LONG_RUN` bytes or more has
+a tree of its own: all leaves with the root's rank are found by one descent and merged from
+left to right at once. That gives the same ids where each merge comes after those that make its
+parts, as then a merge makes no pair of its own rank or below; files of other order are merged
+one pair at a time.
 
 The vocabulary file (JSON of the tokenizers library) is a parameter and is only read.
 Supported is its kind of word BPE: NFC, lower case, white space dropped, byte symbols
-and a suffix that ends a word.
+and a suffix that ends a word; a file with other settings raises ValueError.
 
 Defined results: null text counts as empty; empty and blank texts give no ids; strings of
 added tokens in a text become their ids with `added`, as the library does by default, and
-are ordinary text without; other columns are not read.
+are ordinary text without; very long texts are encoded whole; repeated rows are encoded each, and
+an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +37,30 @@ from .common import give_back
 
 _NONE = np.int64(1 << 62)
 
+# The settings of a vocabulary file that this coder follows.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+UNSET = ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")
+
+
+def check_settings(file: dict) -> None:
+    """Raises ValueError where a vocabulary file asks for what this coder does not do."""
+    model, before, cut = file["model"], file.get("normalizer") or {}, file.get("pre_tokenizer") or {}
+    wrong = [
+        name
+        for name, good in (
+            ("model", model.get("type") == "BPE" and not any(model.get(k) for k in UNSET)),
+            ("normalizer", before.get("normalizers") == NORMALIZERS),
+            ("pre_tokenizer", cut.get("pretokenizers") == [SPLIT, BYTES]),
+            ("decoder", file.get("decoder") is None),
+            ("post_processor", file.get("post_processor") is None),
+        )
+        if not good
+    ]
+    if wrong:
+        raise ValueError(f"unsupported settings of the vocabulary file: {', '.join(wrong)}")
+
 
 def byte_symbols() -> list[str]:
     """The character that stands for each byte: printable ones for themselves, the
@@ -83,12 +112,14 @@ class WordBpe:
     """Encoder and decoder of one vocabulary file."""
 
     LIMIT = 150_000  # of about 350 bytes each
+    LONG_RUN = 1 << 12
 
     def __init__(self, path: str, added: bool = False) -> None:
         import regex
 
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
+        check_settings(file)
         model = file["model"]
         vocab, self.suffix = model["vocab"], model["end_of_word_suffix"] or ""
         tokens = {t["content"]: t["id"] for t in file["added_tokens"]}
@@ -102,6 +133,9 @@ class WordBpe:
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         ids = np.array([[vocab[a], vocab[b], vocab[a + b]] for a, b in merges], "i8")
         self.table = PairRanks(ids[:, :2], ids[:, 2])
+        latest = np.full(len(self.names), -1, "i8")  # rank of the last merge that makes a symbol
+        latest[ids[:, 2]] = np.arange(len(ids))
+        self.in_order = bool((latest[ids[:, :2]] < np.arange(len(ids))[:, None]).all())
         symbols = byte_symbols()
         self.inner = np.array([vocab[s] for s in symbols], "i8")
         self.final = np.array([vocab[s + self.suffix] for s in symbols], "i8")
@@ -115,6 +149,10 @@ class WordBpe:
         rank, _ = self.table.find(left, np.maximum(right, 0))
         return np.where((right >= 0) & (rank >= 0), rank * width + at, _NONE)
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        rank, _ = self.table.find(left, right)
+        return np.where(rank >= 0, rank, _NONE)
+
     def _trees(self, words: list[bytes], width: int) -> list[np.ndarray]:
         """Merged ids of words of at most `width` bytes; width is a power of two."""
         n = len(words)
@@ -171,11 +209,59 @@ class WordBpe:
             tree[node, rows] = np.minimum(tree[2 * node, rows], tree[2 * node + 1, rows])
             node = node >> 1
 
+    def _long_tree(self, word: bytes) -> np.ndarray:
+        """Merged ids of one long word: in each round all pairs of the root's rank."""
+        n = len(word)
+        width = 1 << (n - 1).bit_length()
+        sym = self.inner[np.frombuffer(word, "u1")]
+        sym[-1] = self.final[word[-1]]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        tree = np.full(2 * width, _NONE, "i8")  # ranks alone: places come from the descent
+        tree[width : width + n - 1] = self._ranks(sym[:-1], sym[1:])
+        level = width
+        while level > 1:
+            tree[level // 2 : level] = np.minimum(tree[level : 2 * level : 2], tree[level + 1 : 2 * level : 2])
+            level //= 2
+        while tree[1] < _NONE:
+            rank, nodes = tree[1], np.array([1])
+            while nodes[0] < width:
+                nodes = np.repeat(2 * nodes, 2)
+                nodes[1::2] += 1
+                nodes = nodes[tree[nodes] == rank]
+            at = nodes - width
+            # of pairs that share a symbol, the first, third, ... are merged
+            chained = np.r_[False, after[at[:-1]] == at[1:]]
+            first = np.maximum.accumulate(np.where(chained, 0, np.arange(len(at))))
+            at = at[(np.arange(len(at)) - first) % 2 == 0]
+            right = after[at]
+            following = after[right]
+            sym[at] = self.table.find(sym[at[:1]], sym[right[:1]])[1]
+            sym[right] = -1
+            after[at] = following
+            inside = following < n
+            before[following[inside]] = at[inside]
+            left = before[at]
+            touched = np.unique(np.r_[left[left >= 0], at])
+            nxt = after[touched]
+            has = nxt < n
+            ranks = np.full(len(touched), _NONE)
+            ranks[has] = self._ranks(sym[touched[has]], sym[nxt[has]])
+            tree[width + touched], tree[width + right] = ranks, _NONE
+            nodes = np.sort(np.r_[touched, right]) + width >> 1
+            while nodes[0] >= 1:
+                nodes = nodes[np.r_[True, nodes[1:] != nodes[:-1]]]
+                tree[nodes] = np.minimum(tree[2 * nodes], tree[2 * nodes + 1])
+                nodes = nodes >> 1
+        return sym[sym >= 0]
+
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of pre-tokens, given as bytes (none empty)."""
         out: list[np.ndarray | None] = [None] * len(words)
         classes: dict[int, list[int]] = {}
         for i, w in enumerate(words):
+            if self.in_order and len(w) >= self.LONG_RUN:
+                out[i] = self._long_tree(w)
+                continue
             classes.setdefault(1 << max(1, (len(w) - 1).bit_length()), []).append(i)
         for width, members in classes.items():
             step = max(1, (1 << 19) // width)
