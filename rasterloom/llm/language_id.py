@@ -7,15 +7,17 @@ from spherical k-means; a text gets the language of the centroid with the highes
 A text whose cosine distance exceeds that centroid's radius is rejected: it is outside
 of what was learned.
 
-Document frequencies are counted over all training documents. Centroids are fitted on at
-most `FIT_PER_LANGUAGE` documents a language in expectation (chosen by a hash), the bound
-on what comes to the driver. The model is one matrix of 2**13 rows and a column for each
-centroid, and is broadcast.
+Document frequencies are counted over all training documents. Centroids are fitted on about
+`FIT_PER_LANGUAGE` distinct texts a language, chosen by a hash of the text, so that neither
+repeated rows nor shared ids let more come to the driver. The model is one matrix of 2**13
+rows and a column for each centroid, and is broadcast; it has at most `MAX_LANGUAGES` languages,
+and more of them raise ValueError.
 
 Defined results: null text and text without a letter give ``und`` with score 0; with
 nothing to learn from every text gives ``und``; null languages are not learned from;
-repeated rows and ties are harmless (the first centroid in language order wins); whole
-texts are used, however long; other columns are not read.
+repeated rows count in document frequencies and once in centroids; of equal cosines the first
+centroid in language order wins; whole texts are used, however long; an empty table gives an
+empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,12 +29,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DIM_BITS = 13
 DIM = 1 << DIM_BITS
 FIT_PER_LANGUAGE = 300
+MAX_LANGUAGES = 500
 CENTROIDS = 4
 #: A centroid's radius is this quantile of its members' distances, times SLACK.
 RADIUS_QUANTILE, SLACK = 0.99, 1.25
@@ -105,12 +108,13 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
     return c
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", pick: Column | None = None) -> Model:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = FIT_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Model:
     """Learns from all rows of `docs` with a language and a letter in the text."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (pick if pick is not None else F.xxhash64(text_col)).alias("pick")
-    )
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(text_col, F.lit("fit")).alias("pick"))
+    counted = rows.groupBy("lang").agg(F.approx_count_distinct("pick", 0.02).alias("n"))
+    sizes = {r.lang: r.n for r in counted.limit(max_languages + 1).collect()}
+    if len(sizes) > max_languages:
+        raise ValueError(f"more than {max_languages} languages to learn")
     if not sizes:
         return Model(np.ones(DIM, "f4"), np.zeros((DIM, 0), "f4"), [], np.zeros(0))
 
@@ -129,10 +133,9 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", pick: C
         frequency[r.bucket] = r.n  # index -1: number of documents
     idf = np.log((1 + frequency[-1]) / (1 + frequency[:DIM])).astype("f4") + np.float32(1)
 
-    chosen = F.lit(False)
-    for lang, n in sizes.items():
-        one_in = max(1, n // FIT_PER_LANGUAGE)
-        chosen = chosen | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("pick", F.lit("fit")), F.lit(one_in)) == 0))
+    rates = docs.sparkSession.createDataFrame([(lang, max(1, n // per_language)) for lang, n in sizes.items()], "lang string, one_in long")
+    chosen = rows.join(F.broadcast(rates), "lang").where(F.pmod("pick", "one_in") == 0)  # a row a language
+    chosen = chosen.groupBy("lang", "pick").agg(F.first("text").alias("text"))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +148,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", pick: C
                     ["lang", "at", "tf"],
                 )
 
-    sample = rows.where(chosen).select("text", "lang").mapInArrow(sparse, "lang string, at binary, tf binary").collect()
+    sample = chosen.select("text", "lang").mapInArrow(sparse, "lang string, at binary, tf binary").collect()
     by_lang: dict[str, list[np.ndarray]] = {}
     for r in sorted(sample, key=lambda r: (r.lang, bytes(r.at), bytes(r.tf))):
         v = np.zeros(DIM, "f4")
