@@ -118,7 +118,11 @@ def r4_rasterise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.rasterised(seg).select("image_id", "y", "x", "class_id")
 
 
-@query()
+@query("points", "pixels", sql="""WITH c AS (SELECT DISTINCT image_id, x * 7 AS x, y * 7 AS y FROM points),
+e AS (SELECT a.image_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM c a JOIN c b ON a.image_id = b.image_id AND (a.x <> b.x OR a.y <> b.y) JOIN c p ON a.image_id = p.image_id
+  GROUP BY ALL HAVING min((b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x)) >= 0 AND max((b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x)) > 0),
+i AS (SELECT image_id, y, x FROM pixels JOIN e USING (image_id) GROUP BY ALL HAVING bool_and((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1) >= 0))
+SELECT image_id, count(*) AS filled FROM i GROUP BY image_id""")
 def r5_hull_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     corners = views.points(spark, sf_dir).select("image_id", (F.col("x") * 7).alias("x"), (F.col("y") * 7).alias("y"))
     filled = R.inside_hull(views.pixels(spark, sf_dir).select("image_id", "y", "x"), R.hulls(corners))
