@@ -143,6 +143,7 @@ def quality_reason(min_side: float) -> Column:
     )
 
 
+# The weights and ranges in this function.
 def skin_box_score(area: Column, box: Column, aspect: Column, inside: Column) -> Column:
     return unit(
         0.45 * normal(area, 0.05, 0.45) + 0.25 * normal(box, 0.12, 0.75) + 0.15 * (1 - F.least(F.abs(aspect - 0.75), F.lit(0.75)) / 0.75)
@@ -150,6 +151,7 @@ def skin_box_score(area: Column, box: Column, aspect: Column, inside: Column) ->
     )
 
 
+# The weights and ranges in this function.
 def line_scores(thumb: Column) -> dict[str, Column]:
     """Scores of a component as each line, from cx, cy, bw, y0, y1, length_px and the
     three directions; `thumb` is left, right or unknown."""
@@ -165,6 +167,7 @@ def line_scores(thumb: Column) -> dict[str, Column]:
     }
 
 
+# The weights and ranges in this function.
 def mask_quality(line_ratio: Column, main_lines: Column, mean_score: Column, hand: Column) -> Column:
     return unit(0.25 * normal(line_ratio, 0.002, 0.035) + 0.25 * (main_lines / 3.0) + 0.25 * mean_score + 0.25 * hand)
 
@@ -251,6 +254,7 @@ def luma(r: Column, g: Column, b: Column) -> Column:
     return 0.299 * r + 0.587 * g + 0.114 * b
 
 
+# The weights and ranges in this function.
 def is_skin(r: Column, g: Column, b: Column) -> Column:
     """Broad skin range in YCrCb, or in HSV (hue in half degrees)."""
     y = luma(r, g, b)
