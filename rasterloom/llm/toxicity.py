@@ -6,8 +6,9 @@ of `GRAM` bytes and more that are frequent in toxic windows far beyond chance).
 `WINDOW` words overlap by half. A window is compressed with the ordinary dictionary and with both; the bytes that the
 toxic one saves are the window's distance. A document's score comes from the bytes saved by
 windows over each of the `MARGINS`, as a sum and relative to the text's length, by a
-logistic curve that is calibrated on training documents that its dictionaries were not
-trained on (fold 3); the final dictionaries are then trained on all training documents.
+logistic curve that is calibrated, with these very dictionaries, on training documents that
+they were not trained on (fold 3): dictionaries trained anew on all of them save more bytes
+on ordinary text than the curve was drawn to.
 
 Fitting reads a sample of labelled rows: about `FIT_ROWS` documents of each class, and of
 their distinct windows about `FIT_WINDOWS` by class, all chosen by a hash (windows of more
@@ -166,7 +167,7 @@ def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold: Column | None = None) -> Model:
-    """Learns from labelled rows. `fold` numbers rows 0 to 3: calibration uses fold 3, its
+    """Learns from labelled rows. `fold` numbers rows 0 to 3: calibration uses fold 3, the
     dictionaries all other rows."""
     spark = docs.sparkSession
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_toxic"))
@@ -190,22 +191,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [sorted({w for w in windows(text.as_py()) if len(w) <= LONGEST}) for text in part.column(2)]
-                sizes = [len(f) for f in found]
-                toxic, held = (np.repeat(part.column(i).to_numpy(zero_copy_only=False), sizes) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(held, pa.bool_()), pa.array([w for f in found for w in f], pa.binary())], ["toxic", "held", "window"])
-
-    every = rows.select("_toxic", "_held", "_text").mapInArrow(cut, "toxic int, held boolean, window binary")
-    # a window of fold 3 alone is left out of the dictionaries that calibration uses
-    every = written(every.groupBy("toxic", "window").agg(F.min("held").alias("held")), "toxicity-windows")
-    found: dict[int, tuple[list[bytes], list[bytes]]] = {}
+                found = [sorted({w for w in windows(text.as_py()) if len(w) <= LONGEST}) for text in part.column(1)]
+                toxic = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(f) for f in found])
+                yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array([w for f in found for w in f], pa.binary())], ["toxic", "window"])
+
+    every = rows.where(~F.col("_held")).select("_toxic", "_text").mapInArrow(cut, "toxic int, window binary")
+    every = written(every.distinct(), "toxicity-windows")
+    found: dict[int, list[bytes]] = {}
     for value in (0, 1):
         own = every.where(F.col("toxic") == value)
-        some_windows = own.where(drawn("windows", F.col("window"), FIT_WINDOWS[value] / max(1, own.count()))).select("window", "held").toArrow()
-        pairs = sorted(zip(some_windows.column(0).to_pylist(), some_windows.column(1).to_pylist()))
-        found[value] = [w for w, held in pairs if not held], [w for w, _ in pairs]
+        some_windows = own.where(drawn("windows", F.col("window"), FIT_WINDOWS[value] / max(1, own.count()))).select("window").toArrow()
+        found[value] = sorted(some_windows.column(0).to_pylist())
 
-    model = dictionaries(found[1][0], found[0][0])
+    model = dictionaries(found[1], found[0])
     shared = spark.sparkContext.broadcast(model)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,15 +212,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
 
     held = rows.where("_held").select("_toxic", "_text").mapInArrow(measured, "toxic int, x array<double>").collect()
-    final = dictionaries(found[1][1], found[0][1])
     y = np.array([r.toxic for r in held], float)
     if len(y):
-        final.weights = logistic(np.array([r.x for r in held]), y, PRIOR)
+        model.weights = logistic(np.array([r.x for r in held]), y, PRIOR)
     if 0 < y.sum() < len(y):
         # the classes may be thinned differently: shift the constant to their true rate
         true_rate, seen_rate = sizes[1] / (sizes[0] + sizes[1]), y.mean()
-        final.weights[0] += np.log(true_rate / (1 - true_rate)) - np.log(seen_rate / (1 - seen_rate))
-    return final
+        model.weights[0] += np.log(true_rate / (1 - true_rate)) - np.log(seen_rate / (1 - seen_rate))
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
