@@ -21,8 +21,11 @@ dataset; other columns are not read.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +43,8 @@ MAGIC = b"RNS1"
 BLOCK_TOKENS = 1 << 20
 MAX_LANES = 4096
 CHECKPOINT_STEPS = 128
-#: Texts that are encoded at a time.
-TEXTS = 1024
+#: Texts that are encoded at a time, and bytes of them, about.
+TEXTS, TEXT_BYTES = 2048, 8 << 20
 
 
 # ---------------------------------------------------------------- frequency table
@@ -168,18 +171,76 @@ class Block:
 Encoder = Callable[[], Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]]
 
 
+# What a byte of a text is. OTHER: part of a character that is no white space, but may be a
+# letter, digit or mark. UNSURE: control characters, white space beyond ASCII, and what may be such.
+UNSURE, LETTER, DIGIT, MARK, QUOTE, OTHER, SPACE, FEED = range(8)
+SOLID = (LETTER, DIGIT, MARK, QUOTE, OTHER)
+
+
+def _kinds() -> np.ndarray:
+    kinds = np.full(256, OTHER, "u1")
+    for i in range(128):
+        c = chr(i)
+        kinds[i] = LETTER if c.isalpha() else DIGIT if c.isdigit() else QUOTE if c == "'" else MARK if "!" <= c <= "~" else UNSURE
+    kinds[0x20], kinds[[0x09, 0x0A, 0x0D]] = SPACE, FEED
+    kinds[0xC3:0xCA] = LETTER  # U+00C0 to U+024F are letters but for two signs
+    return kinds
+
+
+def _pairs() -> np.ndarray:
+    """By kinds of two neighbours (8 * left + right): bit 1, no pre-token holds both; bit 2,
+    the same if the left one is the only white space there."""
+    found = np.zeros((8, 8), "u1")
+    for left in SOLID:
+        found[left, [SPACE, FEED]] = 1
+        found[FEED, left] = 2
+    for left in (LETTER, DIGIT, MARK, QUOTE):
+        for right in (LETTER, DIGIT, MARK, QUOTE):
+            found[left, right] = left != right and {left, right} != {MARK, QUOTE} and (left, right) != (QUOTE, LETTER)
+    return found.ravel()
+
+
+KINDS, PAIRS = _kinds(), _pairs()
+#: A piece without white space or controls, but for a space in front.
+SOLID_PIECE = re.compile(rb" ?[^\x00-\x20\x7f]+").fullmatch
+
+
+def kinds_of(data: np.ndarray) -> np.ndarray:
+    """The kind of each byte of UTF-8 text."""
+    kinds = KINDS[data]
+    if not len(data) or int(data.max()) < 0x80:
+        return kinds
+    latin = np.flatnonzero((data >= 0xC3) & (data <= 0xC9))
+    kinds[latin + 1] = LETTER
+    signs = latin[(data[latin] == 0xC3) & ((data[latin + 1] == 0x97) | (data[latin + 1] == 0xB7))]
+    kinds[signs] = kinds[signs + 1] = OTHER
+    short = np.flatnonzero(data == 0xC2)
+    short = short[data[short + 1] <= 0xA0]
+    kinds[short] = kinds[short + 1] = UNSURE
+    for lead, seconds in ((0xE1, (0x9A, 0xA0)), (0xE2, (0x80, 0x81)), (0xE3, (0x80,)), (0xEF, (0xBB,))):
+        at = np.flatnonzero(data == lead)
+        at = at[np.isin(data[at + 1], np.array(seconds, "u1"))]
+        if lead == 0xE2:  # dashes, quotation marks and dots are none
+            at = at[~((data[at + 1] == 0x80) & (data[at + 2] >= 0x90) & (data[at + 2] < 0xA8))]
+        kinds[at] = kinds[at + 1] = kinds[at + 2] = UNSURE
+    return kinds
+
+
 class PieceEncoder:
     """Ids of whole texts from a byte-level BPE of the tokenizers library.
 
-    Its pre-tokenizer always cuts before a space that stands between other characters,
-    so a text's pieces between spaces are encoded once and kept in a bounded memo. Texts
-    in which a space touches other white space on both sides go to the library whole, as
-    do texts that hold an added token, unless `added` is off and these are ordinary text.
-    Pieces are cut and numbered by Arrow for many texts at once; Python sees each distinct
-    piece of a batch once.
+    Its pre-tokenizer looks ahead only, so a text can be cut wherever no pre-token reaches
+    over: in front of white space, behind a single line feed, and between letters, digits and
+    marks of which both sides are known. Where it is not certain that a cut is right there
+    is none. Each distinct piece is encoded once and kept in a bounded memo, which forgets
+    those that did not come again; pieces of more than `LONG` bytes are encoded whenever they
+    come. Texts that hold an added token are one piece, unless `added` is off and these are
+    ordinary text; so are all texts if the file's pre-tokenizer is another one. Pieces are
+    cut and numbered for many texts at once; Python sees each distinct piece of a batch once.
     """
 
-    LIMIT = 700_000  # of about 250 bytes each
+    LIMIT = 700_000  # of about 200 bytes each
+    LONG = 64
 
     def __init__(self, path: str, added: bool = False) -> None:
         import os
@@ -192,109 +253,135 @@ class PieceEncoder:
         self.tok.no_padding()
         self.tok.encode_special_tokens = not added
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()] if added else []
+        settings = json.loads(self.tok.to_str())
+        before = settings["pre_tokenizer"] or {}
+        self.cuts = not settings["normalizer"] and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"]
         vocab = self.tok.get_vocab(with_added_tokens=True)
-        self.starts = np.zeros(max(vocab.values()) + 1, bool)
-        self.starts[[i for s, i in vocab.items() if s.startswith("Ġ")]] = True
-        # marks that the pre-tokenizer cuts off the letters before them
-        self.marks = {m: int(self._ids([m])[0][0]) for m in ",.;:!?"}
+        #: For ids: starts with a space, is a line feed.
+        self.spaced, self.feeds = (np.zeros(max(vocab.values()) + 1, bool) for _ in range(2))
+        self.spaced[[i for s, i in vocab.items() if s.startswith("Ġ")]] = True
+        self.feeds[[i for s, i in vocab.items() if s == "Ċ"]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.memo: dict[str, int] = {}  # piece after a space -> its place in the store
-        self.firsts: dict[str, int] = {}  # piece at a text's start
+        self.memo: dict[bytes, int] = {}  # piece -> its place in the store
         self.flat, self.used = np.zeros(1 << 16, "u4"), 0
-        self.begin, self.size = np.zeros(1 << 14, "i8"), np.zeros(1 << 14, "i8")
-        self.blank = np.zeros((1 << 14, 2), bool)  # white space or nothing at the piece's start, end
+        self.begin, self.size, self.stored = np.zeros(1 << 14, "i8"), np.zeros(1 << 14, "i4"), 0
+        self.uses = np.zeros(1 << 14, "i4")  # batches that held the piece
+
+    def _forget(self) -> None:
+        """Keeps the pieces that came again, half of the limit at most."""
+        need = 2
+        while np.count_nonzero(self.uses[: self.stored] >= need) > self.LIMIT // 2:
+            need *= 2
+        kept = self.uses[: self.stored] >= need
+        pieces = list(compress(self.memo, kept.tolist()))  # in the order of their places
+        ids, sizes = self._gathered(np.flatnonzero(kept))
+        self.clear()
+        self._store(ids, sizes)
+        self.memo.update(zip(pieces, range(len(pieces))))
+        self.uses[: self.stored] = 1
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _store(self, memo: dict[str, int], pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        at, end = len(self.memo) + len(self.firsts), self.used + len(ids)
+    def _store(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        at, to, end = self.stored, self.stored + len(sizes), self.used + len(ids)
         while end > len(self.flat):
-            self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
-        while at + len(pieces) > len(self.begin):
-            self.begin, self.size, self.blank = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.size, self.blank))
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while to > len(self.begin):
+            self.begin, self.size, self.uses = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.size, self.uses))
         self.flat[self.used : end] = ids
-        self.size[at : at + len(pieces)] = sizes
-        self.begin[at : at + len(pieces)] = self.used + np.cumsum(sizes) - sizes
-        nothing = memo is not self.firsts
-        self.blank[at : at + len(pieces), 0] = [p[0].isspace() if p else nothing for p in pieces]
-        self.blank[at : at + len(pieces), 1] = [p[-1].isspace() if p else nothing for p in pieces]
-        memo.update(zip(pieces, range(at, at + len(pieces))))
-        self.used = end
-
-    def _store_list(self, memo: dict[str, int], pieces: list[str], ids: list[np.ndarray]) -> None:
+        self.size[at:to] = sizes
+        self.begin[at:to] = self.used + np.cumsum(sizes) - sizes
+        self.stored, self.used = to, end
+
+    def _store_each(self, pieces: list[bytes]) -> None:
         if pieces:
-            self._store(memo, pieces, np.concatenate(ids), np.array([len(x) for x in ids]))
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encodes new pieces, each with the space before it."""
-        marks, memo = self.marks, self.memo
-        marked = {p: p[:-1] for p in pieces if p[-1:] in marks and p[:-1].isalpha()}
-        stems = {x for x in marked.values() if x not in memo}
-        new = [*(p for p in pieces if p not in marked and p not in stems), *stems]
-        plain = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
-        for at in range(0, len(plain), 256):
-            part = plain[at : at + 256]
-            ids = self._ids([" " + " ".join(part)])[0]
-            cuts = np.flatnonzero(self.starts[ids])
-            if len(cuts) == len(part):
-                self._store(self.memo, part, ids, np.diff(np.r_[cuts, len(ids)]))
+            ids = self._ids([p.decode() for p in pieces])
+            self._store(np.concatenate(ids), np.array([len(x) for x in ids]))
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Encodes new pieces: those without white space inside many at a time, one after the
+        other if spaces start them and as lines if not."""
+        solid = list(map(bool, map(SOLID_PIECE, pieces))) if self.cuts else [False] * len(pieces)
+        words = [p for p, ok in zip(pieces, solid) if ok and p[0] == 32]
+        lines = [p for p, ok in zip(pieces, solid) if ok and p[0] != 32]
+        rest = [p for p, ok in zip(pieces, solid) if not ok]
+        for at in range(0, len(words), 256):
+            part = words[at : at + 256]
+            ids = self._ids([b"".join(part).decode()])[0]
+            begin = np.flatnonzero(self.spaced[ids])
+            if len(begin) == len(part):
+                self._store(ids, np.diff(begin, append=len(ids)))
+            else:
+                self._store_each(part)
+        for at in range(0, len(lines), 256):
+            part = lines[at : at + 256]
+            ids = self._ids([b"\n".join(part).decode()])[0]
+            feeds = self.feeds[ids]
+            ends = np.flatnonzero(feeds)
+            if len(ends) == len(part) - 1:
+                self._store(ids[~feeds], np.diff(ends, prepend=-1, append=len(ids)) - 1)
             else:
-                self._store_list(self.memo, part, self._ids([" " + p for p in part]))
-        odd = [p for p in new if not p or p[0].isspace() or p[-1].isspace()]
-        self._store_list(self.memo, odd, self._ids([" " + p for p in odd]))
-        if marked:
-            ids, size = self._gathered(np.array([memo[x] for x in marked.values()]))
-            ids = np.insert(ids, np.cumsum(size), [marks[p[-1]] for p in marked])
-            self._store(memo, list(marked), ids, size + 1)
+                self._store_each(part)
+        self._store_each(rest)
+        self.memo.update(zip(chain(words, lines, rest), range(self.stored - len(pieces), self.stored)))
 
     def _gathered(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids at these places of the store, one after the other, and their numbers."""
         size = self.size[places]
-        return self.flat[np.repeat(self.begin[places] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))], size
+        upto = np.cumsum(size, dtype="i8") - size
+        at = np.repeat(self.begin[places] - upto, size)
+        at += np.arange(len(at))
+        return self.flat[at], size
+
+    def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of all texts one after the other, and each text's first piece (and the end)."""
+        large = pa.types.is_large_string(texts.type)
+        _, offsets, data = texts.buffers()
+        ends = np.frombuffer(offsets, "i8" if large else "i4")[texts.offset : texts.offset + len(texts) + 1]
+        low, ends = int(ends[0]), ends - ends[0]
+        data = data.slice(low, int(ends[-1])) if data is not None else pa.py_buffer(b"")
+        cut = np.zeros(len(data) + 1, bool)
+        cut[ends] = True
+        if self.cuts and len(data):
+            kinds = kinds_of(np.frombuffer(data, "u1"))
+            pairs = PAIRS[kinds[:-1] << 3 | kinds[1:]]
+            inner = cut[1:-1]
+            inner |= (pairs & 1).view(bool)
+            inner[1:] |= (pairs[1:] >> 1 & pairs[:-1]).view(bool)
+            for token in self.added:
+                for i in np.flatnonzero(pc.match_substring(texts, token).to_numpy(zero_copy_only=False)).tolist():
+                    cut[ends[i] + 1 : ends[i + 1]] = False
+        at = np.flatnonzero(cut)
+        pieces = pa.Array.from_buffers(pa.large_binary() if large else pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(ends.dtype)), data])
+        return pieces, np.searchsorted(at, ends)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and how many each text has."""
-        if len(self.memo) + len(self.firsts) > self.LIMIT:
-            self.clear()
-        cut = pc.split_pattern(texts, " ")
-        first = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
-        coded = cut.flatten().dictionary_encode()
-        number, pieces = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False)
-        inner = np.ones(len(number), bool)
-        inner[first] = False
-        needed = np.zeros(len(pieces), bool)
-        needed[number[inner]] = True
-        heads = pieces[number[first]].tolist()
-        new = [h for h in dict.fromkeys(heads) if h not in self.firsts]
-        self._store_list(self.firsts, new, self._ids(new))
-        followers = pieces[needed].tolist()
-        found = list(map(self.memo.get, followers))
-        if None in found:
-            self._learn([p for p, at in zip(followers, found) if at is None])
-            found = list(map(self.memo.get, followers))
-        places = np.zeros(len(pieces), "i8")
-        places[needed] = found
-        place = places[number]
-        place[first] = [self.firsts[h] for h in heads]
-        ids, size = self._gathered(place)
-        lengths = np.add.reduceat(size, first) if len(first) else np.zeros(0, "i8")
-
-        # a space between white space, or between white space and the end
-        unsafe = np.zeros(len(number), bool)
-        unsafe[1:] = self.blank[place[:-1], 1] & self.blank[place[1:], 0] & inner[1:]
-        whole = np.logical_or.reduceat(unsafe, first) if len(first) else np.zeros(0, bool)
-        for token in self.added:
-            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
-        if whole.any():
-            parts = np.split(ids, np.cumsum(lengths)[:-1])
-            at = np.flatnonzero(whole)
-            for i, x in zip(at.tolist(), self._ids([texts[i].as_py() for i in at.tolist()])):
-                parts[i] = x
-            ids, lengths = np.concatenate(parts), np.array([len(x) for x in parts], "i8")
-        return ids, lengths
+        if not len(texts):
+            return np.zeros(0, "u4"), np.zeros(0, "i8")
+        if len(self.memo) > self.LIMIT:
+            self._forget()
+        cut, first = self._cut(texts)
+        coded = cut.dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False)
+        places = np.fromiter(map(self.memo.get, pieces.tolist(), repeat(-1)), "i8", len(pieces))
+        new = np.flatnonzero(places < 0)
+        long = np.array(list(map(len, pieces[new].tolist())), "i8") > self.LONG
+        if not long.all():
+            found = pieces[new[~long]].tolist()
+            self._learn(found)
+            places[new[~long]] = list(map(self.memo.get, found))
+        self.uses[places[places >= 0]] += 1
+        kept = self.flat, self.used, self.begin, self.size, self.stored, self.uses
+        self._store_each(pieces[new[long]].tolist())  # for this batch alone
+        places[new[long]] = np.arange(kept[4], self.stored)
+        ids, size = self._gathered(places[coded.indices.to_numpy()])
+        self.flat, self.used, self.begin, self.size, self.stored, self.uses = kept
+        upto = np.concatenate((np.zeros(1, "i8"), np.cumsum(size, dtype="i8")))
+        return ids, np.diff(upto[first])
 
 
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
@@ -344,8 +431,12 @@ def write_tokens(
         encode, pack = make_encoder(), zstandard.ZstdCompressor(level=1)
         total = np.zeros(vocab_size, "i8")
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                one = batch.slice(at, TEXTS)
+            ends_at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(), dtype="i8")
+            at = to = 0
+            while (at := to) < batch.num_rows:
+                to = int(np.searchsorted(ends_at, (ends_at[at - 1] if at else 0) + TEXT_BYTES, "right"))
+                to = min(max(at + 1, to), at + TEXTS, batch.num_rows)
+                one = batch.slice(at, to - at)
                 found, n = encode(one.column(1).fill_null(""))
                 found, n = np.insert(found, np.cumsum(n), end_id).astype(width), n + 1
                 total += np.bincount(found, minlength=vocab_size)
