@@ -43,16 +43,22 @@ def _banded(hashes: DataFrame, h: str) -> DataFrame:
     return hashes.select("*", mask).withColumn("key", F.col(h).bitwiseAND(F.col("band")))
 
 
+def _same_key(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows with the same key, by a shuffle of both sides: Spark takes exploded rows to be as
+    small as their source and would send all of them through the driver as a broadcast."""
+    return left.hint("merge").join(right.hint("merge"), ["band", "key"])
+
+
 def near_pairs(hashes: DataFrame, radius: int = 6, id_col: str = "id", h_col: str = "h") -> DataFrame:
     """Pairs of distinct hash values within a Hamming radius: as many bits spoil at most as
     many blocks, so three blocks agree and no pair is lost, while keys are so wide that
     values which are not near seldom share one. Rows of equal hashes are one value here."""
     if radius > BLOCKS - TOGETHER:
         raise ValueError(f"the radius must be at most {BLOCKS - TOGETHER}")
-    values = hashes.where(F.col(h_col).isNotNull()).select(F.col(h_col).alias("h")).distinct()
+    values = written(hashes.where(F.col(h_col).isNotNull()).select(F.col(h_col).alias("h")).distinct(), "hashes")
     left = _banded(values, "h")
     right = left.select(F.col("h").alias("g"), "band", "key")
-    near = left.join(right, ["band", "key"]).where((F.col("h") < F.col("g")) & (F.bit_count(F.col("h").bitwiseXOR(F.col("g"))) <= radius))
+    near = _same_key(left, right).where((F.col("h") < F.col("g")) & (F.bit_count(F.col("h").bitwiseXOR(F.col("g"))) <= radius))
     return near.select("h", "g", F.bit_count(F.col("h").bitwiseXOR(F.col("g"))).alias("distance")).distinct()
 
 
@@ -83,7 +89,7 @@ def near_any(rows: DataFrame, held: DataFrame, radius: int = 6, h_col: str = "ph
     """Distinct hashes of `rows` that lie within the radius of any hash of `held`."""
     left = _banded(rows.where(F.col(h_col).isNotNull()).select(F.col(h_col).alias("h")).distinct(), "h")
     right = _banded(held.where(F.col(h_col).isNotNull()).select(F.col(h_col).alias("g")).distinct(), "g")
-    near = left.join(right, ["band", "key"]).where(F.bit_count(F.col("h").bitwiseXOR(F.col("g"))) <= radius)
+    near = _same_key(left, right).where(F.bit_count(F.col("h").bitwiseXOR(F.col("g"))) <= radius)
     return near.select("h").distinct()
 
 
@@ -158,6 +164,7 @@ def leaks(rows: DataFrame, keys: Sequence[str], split: str = "split") -> DataFra
 def grouped_manifest(manifest: DataFrame, seed: str = "42", radius: int = 6) -> DataFrame:
     """Adds group_root, group_id, split and split_basis to manifest rows: groups join what
     shares content, a subject or a near perceptual hash."""
+    manifest = written(manifest, "manifest-rows")
     values = near_pairs(manifest.select(F.col("phash").alias("h")), radius, h_col="h")
     first = manifest.groupBy(F.col("phash").alias("h")).agg(F.min("doc_id").alias("i"))
     near = values.join(first, "h").join(first.select(F.col("h").alias("g"), F.col("i").alias("j")), "g").select(F.col("i").alias("a"), F.col("j").alias("b"))

@@ -40,8 +40,9 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hash(embedding: str) -> str:
+    """The median is an argument of the outer lambda, so that it is sorted for once a row."""
     middle = f"element_at(array_sort(slice({embedding}, 2, 63)), 32)"
-    return f"aggregate(sequence(1, 63), 0L, (a, i) -> a | if({embedding}[i] > {middle}, shiftleft(1L, i - 1), 0L))"
+    return f"transform(array({middle}), m -> aggregate(sequence(1, 63), 0L, (a, i) -> a | if({embedding}[i] > m, shiftleft(1L, i - 1), 0L)))[0]"
 
 
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,16 +55,19 @@ def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest rows with review state."""
     docs, vecs, labels = (table(spark, sf_dir, t) for t in ("documents", "embeddings", "labels"))
+    # digests go into the joins, not texts and vectors
+    docs = docs.select("doc_id", "source", F.sha2("text", 256).alias("sha256"))
+    vecs = vecs.select("vec_id", F.expr(_hash("embedding")).alias("phash"), ((F.col("embedding")[0].cast("double") + 1) / 2).alias("score"))
     joined = docs.join(vecs, docs.doc_id == vecs.vec_id).join(labels.select(F.col("doc_id").alias("l_id"), "quality"), F.col("doc_id") == F.col("l_id"), "left")
     return joined.select(
         "doc_id",
         F.concat(F.lit("img/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("image_path"),
         F.col("source").alias("source_group"),
         F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("s"), F.expr("doc_id div 3").cast("string"))).alias("subject_id"),
-        F.sha2("text", 256).alias("sha256"),
-        F.expr(_hash("embedding")).alias("phash"),
+        "sha256",
+        "phash",
         F.when(F.col("quality") == 1, "approved").when(F.col("quality") == 0, "rejected").otherwise("pending").alias("review_status"),
-        ((F.col("embedding")[0].cast("double") + 1) / 2).alias("score"),
+        "score",
     )
 
 
