@@ -3,8 +3,9 @@
 Vectors are packed into tiles: `TILE` query rows or item rows as one matrix. Every query
 tile meets every item tile; a matrix product gives a tile's scores and a partial
 selection keeps k of each query. Item tiles stay where their group is and the query
-tiles, which are the smaller side, are sent to each group. A task merges the lists of
-the tiles it meets, then lists are merged along a tree of `FAN_IN` groups a level, so
+tiles, which are the smaller side, are sent to each group, by a shuffle. There are at most
+half as many groups as item tiles, and groups of `HELD_TILES` tiles, about, at most. A task
+merges the lists of the tiles it meets, then lists are merged along a tree of `FAN_IN` groups a level, so
 that no task ever holds more than a query tile's lists from `FAN_IN` groups.
 
 Scores are exact integers: components are whole numbers, products of doubles are used
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 TILE = 2048
 QUERY_TILE = 512
 FAN_IN = 8
+#: Item tiles of a group, about, at most.
+HELD_TILES = 16
 #: Query tiles whose running lists a task holds before it passes them on.
 HELD = 256
 
@@ -162,13 +165,15 @@ def _repeats(qids: np.ndarray, ids: np.ndarray) -> int:
 def top_k(queries: DataFrame, items: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "vec") -> DataFrame:
     """query_id, rank (from 1), item_id, score: each query's k best items but itself."""
     spark = items.sparkSession
-    groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    partitions, n_tiles = max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-items.count() // TILE)
+    groups = max(1, n_tiles // HELD_TILES, min(partitions, n_tiles // 2))
     asked = queries.groupBy(id_col).agg(F.min(F.col(vec_col).cast("array<double>")).alias(vec_col))
-    q = tiles(asked.coalesce(max(1, groups // 4)), id_col, vec_col, QUERY_TILE)
+    q = tiles(asked.coalesce(max(1, partitions // 4)), id_col, vec_col, QUERY_TILE)
     q = q.select(F.col("tile").alias("query_tile"), "dim", F.col("ids").alias("qids"), F.col("body").alias("qbody"))
     q = q.withColumn("node", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     x = tiles(items, id_col, vec_col, TILE).withColumn("node", F.pmod(F.xxhash64("tile"), F.lit(groups)).cast("int"))
-    pairs = q.join(x, ["node", "dim"]).select("query_tile", "node", "dim", "qids", "qbody", "ids", "body")
+    # Spark knows no size of tiles: without the hint it may send all of them through the driver
+    pairs = q.hint("merge").join(x.hint("merge"), ["node", "dim"]).select("query_tile", "node", "dim", "qids", "qbody", "ids", "body")
     lists = pairs.mapInArrow(_matcher(k), _LISTS)
 
     def merged(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

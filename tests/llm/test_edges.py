@@ -76,3 +76,16 @@ def test_links_of_a_block_are_fewer_than_its_rows():
         for _ in range(m):
             joined |= {x for p in pairs if joined & set(p) for x in p}
         assert joined == set(ids[:m])
+
+
+def test_vector_tiles_are_not_broadcast(spark, monkeypatch):
+    """Both sides of the tiles' join are shuffled, and few items are not dealt to many groups."""
+    monkeypatch.setattr(vector_search, "TILE", 8)
+    rows = [(i, [(i * 7919 + j * 31) % 19 - 9 for j in range(3)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, vec array<long>")
+    found = vector_search.top_k(df.where("vec_id % 10 = 0"), df, 4)
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    want = {(q, r + 1, *best) for q, v in rows if q % 10 == 0 for r, best in enumerate((i, s) for s, i in sorted((-dot(v, w), i) for i, w in rows if i != q)[:4])}
+    assert {(r.query_id, r["rank"], r.item_id, -r.score) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
