@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import folder
+from ..operators.graph import folder, written
 from ..sources import archives, files, ranges, tables
 from . import views
 from .registry import query
@@ -22,11 +22,22 @@ def _below(path: Column, top: str) -> Column:
 
 
 def _document_files(spark: SparkSession, sf_dir: str) -> str:
-    """Each document as a file, three fifths of them with an image's extension."""
+    """Each document as a file, three fifths of them with an image's extension. Rows that share
+    a name, or have none, stand in folders of their own; `n` and `t` tell null texts from others."""
     top = folder(spark, "document-files")
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.monotonically_increasing_id().alias("row"))
+    again = written(docs.groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL OR source IS NULL"), "repeated-names")
+    own = F.lit("")
+    if not again.isEmpty():
+        same = docs["doc_id"].eqNullSafe(again["doc_id"]) & docs["source"].eqNullSafe(again["source"])
+        docs = docs.join(again, same, "left").select(*[docs[c] for c in docs.columns], "n")
+        own = F.when(F.col("n").isNotNull(), F.col("row").cast("string")).otherwise("")
     kind = F.element_at(F.array(*map(F.lit, ("png", "JPG", "txt", "Tiff", "json"))), (F.col("doc_id") % 5 + 1).cast("int"))
-    name = F.concat_ws("/", F.lit(top), "source", F.concat(F.col("doc_id").cast("string"), F.lit("."), kind))
-    ranges.put(views.table(spark, sf_dir, "documents").select(name.alias("path"), F.encode("text", "UTF-8").alias("content")))
+    kind = F.concat(F.lit("."), F.coalesce(kind, F.lit("txt")))
+    name = F.coalesce(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), kind), F.concat(F.lit("unnamed"), kind))
+    place = F.concat(F.when(F.col("text").isNull(), "n").otherwise("t"), own)
+    content = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    ranges.put(docs.select(F.concat_ws("/", F.lit(top), place, name).alias("path"), content.alias("content")))
     return top
 
 
@@ -36,7 +47,8 @@ _IMAGE_FILES = "SELECT source || '/' || doc_id || '.' || ['png', 'JPG', 'txt', '
 @query(sql=_IMAGE_FILES)
 def s1_image_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = _document_files(spark, sf_dir)
-    return files.listing(spark, top).select(_below(F.col("path"), top).alias("name"), "length")
+    place, name = _below(F.col("path"), top), F.regexp_replace(_below(F.col("path"), top), "^[^/]*/", "")
+    return files.listing(spark, top).select(F.when(name.contains("/"), name).alias("name"), F.when(place.startswith("t"), F.col("length")).alias("length"))
 
 
 @query(sql=f"SELECT count(*) AS images FROM ({_IMAGE_FILES})")

@@ -1,7 +1,8 @@
-"""Image listings and bounded reads through Spark's file sources."""
+"""Image listings by tasks, bounded reads, and decoding through Spark's image source."""
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator
 
@@ -10,8 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .archives import IMAGE_SUFFIXES
+from .ranges import dealt, opened, walked
 
 MAX_BYTES, MAX_PIXELS, MAX_SIDE = 20 << 20, 16_000_000, 8192
+#: Files that a task reads, about.
+TASK_FILES = 1000
 
 
 def is_image(path: Column) -> Column:
@@ -19,10 +23,8 @@ def is_image(path: Column) -> Column:
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
-    """All image files under `path`: path, length, modificationTime; content is not read
-    unless a later step asks for it."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.where(is_image(F.col("path")))
+    """All image files under `path`, also those of no bytes: path, length, modificationTime."""
+    return walked(spark, path).where(is_image(F.col("path")))
 
 
 def count_images(spark: SparkSession, path: str) -> int:
@@ -52,15 +54,21 @@ def jpeg_size(data: bytes) -> tuple[int, int] | None:
 def probed(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """path, length, sha256, width, height, reason: limits are checked on the listing and
     the header, before anything is decoded."""
-    small = listing(spark, path).where(F.col("length") <= max_bytes)  # pushed to the source
-    large = listing(spark, path).where(F.col("length") > max_bytes).select("path", "length", F.lit(None).cast("string").alias("sha256"), *[F.lit(None).cast("int").alias(c) for c in ("width", "height")])
+    images = listing(spark, path).select("path", "length")
+    small = images.where(F.col("length") <= max_bytes)
+    large = images.where(F.col("length") > max_bytes).select("path", "length", F.lit(None).cast("string").alias("sha256"), *[F.lit(None).cast("int").alias(c) for c in ("width", "height")])
 
     def sizes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            found = [png_size(c) or jpeg_size(c) or (None, None) for c in pdf.pop("content")]
-            yield pdf.assign(width=pd.array([w for w, _ in found], "Int32"), height=pd.array([h for _, h in found], "Int32"))
-
-    read = small.select("path", "length", F.sha2("content", 256).alias("sha256"), "content").mapInPandas(sizes, "path string, length long, sha256 string, width int, height int")
+            sums, found = [], []
+            for name in pdf["path"]:
+                with opened(name) as file:
+                    content = file.read()
+                sums.append(hashlib.sha256(content).hexdigest())
+                found.append(png_size(content) or jpeg_size(content) or (None, None))
+            yield pdf.assign(sha256=sums, width=pd.array([w for w, _ in found], "Int32"), height=pd.array([h for _, h in found], "Int32"))
+
+    read = dealt(small, tasks=-(-small.count() // TASK_FILES)).mapInPandas(sizes, "path string, length long, sha256 string, width int, height int")
     both = read.unionByName(large)
     w, h = F.col("width"), F.col("height")
     reason = (

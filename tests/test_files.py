@@ -7,11 +7,12 @@ import random
 import struct
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.plans import q_files
-from rasterloom.sources import archives, tables
+from rasterloom.plans import q_files, registry
+from rasterloom.sources import archives, files, ranges, tables
 
 
 def archive(path, members, method=zipfile.ZIP_DEFLATED):
@@ -116,3 +117,28 @@ def test_runs_with_reviews(spark, tmp_path):
         (tmp_path / run / "summary.json").write_text("{}")
     (tmp_path / "r2/review/review.csv").write_text("id\n")
     assert [r.run for r in tables.runs_with_reviews(spark, str(tmp_path)).collect()] == ["r2"]
+
+
+def test_the_listing_has_files_of_no_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ranges, "ENTRIES", 2)
+    for name, data in (("a/1.png", b""), ("a/b/2 %20.JPG", b"xy"), ("a/b/3.txt", b"z"), ("4.tif", b"q" * 9), ("_c/5.png", b"")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "none").mkdir()
+    for top in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}/"):
+        found = {(r.path.split(f"{tmp_path}/")[1], r.length) for r in files.listing(spark, top).collect()}
+        assert found == {("a/1.png", 0), ("a/b/2 %20.JPG", 2), ("4.tif", 9), ("_c/5.png", 0)}
+    assert {r.reason for r in files.probed(spark, str(tmp_path), 5).collect()} == {"bad_read", "file_size_limit"}
+    assert files.listing(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_image_files_of_odd_documents(spark, tmp_path):
+    """Empty and null texts, repeated names, and rows without a name, against the SQL."""
+    rows = [(0, "", "s"), (1, None, "s"), (2, "", "s"), (3, "é", "s"), (3, "other", "s"), (3, "other", "s"), (5, "x", None), (5, "", None), (4, "y", None), (None, "z", "s"), (6, "", "a b")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    key = lambda r: tuple(map(str, r))
+    for query in (q_files.s1_image_listing, q_files.s2_image_count):
+        want = duck.execute(registry.ORACLES[query.__name__]).fetchall()
+        assert sorted(map(tuple, query(spark, str(tmp_path)).collect()), key=key) == sorted(want, key=key)
