@@ -4,6 +4,7 @@ unit; numpy works on it inside a task."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -130,11 +131,19 @@ def inside_hull(pixels: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.where("_in").drop("_in")
 
 
-def dct_matrix(n: int) -> np.ndarray:
-    k, i = np.mgrid[0:n, 0:n]
-    m = np.cos(np.pi * (2 * i + 1) * k / (2 * n)) * np.sqrt(2.0 / n)
-    m[0] /= np.sqrt(2.0)
-    return m
+def dct_terms(rasters: np.ndarray) -> np.ndarray:
+    """The lowest 8 x 8 DCT terms of square rasters, given as rows. Terms that are equal differ
+    by their rounding, and which of them is over the median hangs on it: so products and sums
+    are taken pixel after pixel, in the order that the query's SQL writes them."""
+    side = math.isqrt(rasters.shape[1])
+    low = range(min(8, side))
+    scale = np.array([math.sqrt((2.0 if k else 1.0) / side) for k in low])
+    cos = np.array([[math.cos(math.pi * (2 * i + 1) * k / (2 * side)) for k in low] for i in range(side)])
+    out = np.zeros((len(rasters), len(low), len(low)))
+    for pos in range(side * side):
+        y, x = divmod(pos, side)
+        out += rasters[:, pos, None, None] * scale[:, None] * cos[y][:, None] * scale * cos[x]
+    return out
 
 
 def perceptual_hash(values: Column) -> Column:
@@ -143,14 +152,13 @@ def perceptual_hash(values: Column) -> Column:
 
     @F.pandas_udf("string")
     def hashed(rows: pd.Series) -> pd.Series:
-        out = []
-        for row in rows:
-            side = int(len(row) ** 0.5)
-            m = dct_matrix(side)
-            low = (m @ np.asarray(row, float).reshape(side, side) @ m.T)[:8, :8].ravel()[1:]
-            bits = low > np.median(low)
-            out.append(f"{sum(1 << i for i, b in enumerate(bits) if b):016x}")
-        return pd.Series(out)
+        out, lengths = pd.Series("", rows.index, "object"), rows.map(len)
+        for n in lengths.unique():
+            same = rows[lengths == n]
+            low = dct_terms(np.array(same.tolist(), float).reshape(len(same), n)).reshape(len(same), -1)[:, 1:]
+            bits = low > np.median(low, axis=1, keepdims=True)
+            out[same.index] = [f"{sum(1 << i for i in np.flatnonzero(b).tolist()):016x}" for b in bits]
+        return out
 
     return hashed(values)
 
